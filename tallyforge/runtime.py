@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors once per application, unless their PYTHONPATH has it."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tallyforge_shipped", False):
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tallyforge-"), "tallyforge"), "zip", root, "tallyforge")
+    sc.addPyFile(made)
+    sc._tallyforge_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; zone-less timestamps become instants under the UTC session zone."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
