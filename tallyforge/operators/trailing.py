@@ -20,7 +20,8 @@ _SUM = "decimal(38,12)"
 
 
 def latest_rebuild(daily: DataFrame, key: Sequence[str], version: str = "rebuild_no") -> DataFrame:
-    """Rows of the highest ``version`` of every key; rows repeated exactly count once. Null keys are values."""
+    """One row per key, that of the highest ``version``; of several with that version the one with the largest other
+    columns, so rows repeated exactly count once. Null keys are values."""
     rest = [c for c in daily.columns if c not in key]
     best = daily.groupBy(*key).agg(F.max(F.struct(F.col(version), *[F.col(c) for c in rest if c != version])).alias("_best"))
     return best.select(*key, *[F.col(f"_best.{c}").alias(c) for c in rest])

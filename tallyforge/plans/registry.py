@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.plans import prep
+from tallyforge.plans import prep, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (prep,)
+_MODULES = (usage, prep)
 
 
 def queries() -> dict[str, Query]:
@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.p1_once(spark, sf_dir)
+    return usage.by_model(spark, sf_dir)
