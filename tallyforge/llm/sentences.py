@@ -59,6 +59,7 @@ _FENCE = re.compile(r"\s*(```+|~~~+)")
 _HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
 _ITEM = re.compile(r"\s*(?:([-*+•])|(\d{1,9})[.)])\s+(?=\S)")
 _CLUSTER = re.compile(rf"[{re.escape(_MARKS)}]+")
+_MARKUP = re.compile(r"(?:[*_`~']+|</?[A-Za-z][^<>]*>)+(?=\w)")
 _THAI = "฀-๿຀-໿က-႟ក-៿"  # scripts that end sentences with a blank
 _BLANK_END = re.compile(rf"(?<=[{_THAI}])\s+(?=[{_THAI}])")
 _UNMARKED = re.compile(rf"[{_THAI}]")
@@ -229,6 +230,8 @@ def _after_class(s: str, i: int, starters: frozenset) -> tuple[str, str, str]:
     if j == len(s):
         return "end", "none", ""
     gap = "space" if j > i else "glue"
+    if gap == "space" and (m := _MARKUP.match(s, j)) and m.end() < len(s):
+        j = m.end()  # marks of emphasis, code and tags say nothing about the word in them
     c = s[j]
     m = _WORD_AFTER.match(s, j)
     word = m.group() if m else c
