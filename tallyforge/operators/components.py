@@ -33,6 +33,11 @@ def _small_star(links: DataFrame) -> DataFrame:
     )
 
 
+def _signature(links: DataFrame) -> tuple:
+    """Number of links and the sum of their hashes."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Label of every linked node: ``(node, component)``, the component named by its smallest node.
 
@@ -43,16 +48,17 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     base = links.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
     selves = base.where("src = dst").select("src")
     state = cut(_small_star(base.where("src <> dst")))
-    seen = None
-    for _ in range(max_rounds):
+    seen = _signature(state)
+    for _ in range(max_rounds if seen[0] else 0):
         state = cut(_small_star(_large_star(state)))
-        # the link set is a forest of stars when it no longer changes; count and hash sum tell
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
+        # the link set is a forest of stars when a round no longer changes it
+        now = _signature(state)
+        if now == seen:
             break
         seen = now
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if seen[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = state.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     roots = state.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     linked = labels.union(roots)

@@ -140,7 +140,7 @@ def _doubling(links: DataFrame, count: int) -> DataFrame:
     return fine.unionByName(bad)
 
 
-def hierarchy(links: DataFrame, max_component: int = 500_000) -> DataFrame:
+def hierarchy(links: DataFrame, max_component: int = 500_000, one_task: int = 0) -> DataFrame:
     """Full hierarchies of ``(scope, node, parent)``: the columns of ``OUT``, one row per node.
 
     * ``root`` and ``depth``: a node without parent is a root of depth 0, also one that is only named as
@@ -149,15 +149,20 @@ def hierarchy(links: DataFrame, max_component: int = 500_000) -> DataFrame:
       the node whose link is the back edge (components within ``max_component`` only).
     * a node with several rows has one parent: the smallest that any row states; repeated rows and rows
       without parent do not matter. Rows with a null node are ignored. Empty input gives an empty result.
+
+    Forests of at most ``one_task`` nodes (counted first) are traversed in one task without looking for
+    components; the result is the same.
     """
     one = cut(links.select("scope", "node", blank_to_null("parent").alias("parent")).where("node is not null")
               .groupBy("scope", "node").agg(F.min("parent").alias("parent")))
+    if one_task and one.count() <= one_task:
+        return one.select(F.lit(0).alias("component"), "scope", "node", "parent").coalesce(1).mapInArrow(_by_component, OUT)
     key = lambda c: F.xxhash64("scope", c)  # noqa: E731 - only places nodes; a clash puts two trees in one task
     ties = one.select(key("node").alias("src"), F.coalesce(key("parent"), key("node")).alias("dst"))
     ties = ties.withColumn("dst", F.when(F.col("dst").isNull(), F.col("src")).otherwise(F.col("dst")))
     labels = cut(connected_components(ties).withColumnRenamed("node", "_id"))
     placed = one.withColumn("_id", key("node")).join(labels, "_id").select("component", "scope", "node", "parent")
-    big = cut(labels.groupBy("component").count().where(F.col("count") > max_component))
+    big = labels.groupBy("component").count().where(F.col("count") > max_component)
     n_big = big.agg(F.sum("count")).first()[0]
     small = placed.join(big, "component", "left_anti") if n_big else placed
     out = small.repartition("component").sortWithinPartitions("component").mapInArrow(_by_component, OUT)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +89,20 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+@contextmanager
+def interactive(spark: SparkSession) -> Iterator[None]:
+    """Settings for reads of a few thousand cached rows, where re-planning and spare tasks cost more than they save."""
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def default_spark(app: str = "tallyforge", cpus: str | None = None) -> SparkSession:
     """Local session for tests and the benchmark."""
     n = cpus or os.environ.get("BENCH_CPUS", "8")
