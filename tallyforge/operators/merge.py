@@ -22,6 +22,10 @@ def last_write_wins(df: DataFrame, key: Sequence[str], sequence: str) -> DataFra
     return top.select(*key, *[F.col(f"_r.{c}").alias(c) for c in (sequence, *rest)])
 
 
+#: a row without key or session is no event
+VALID = "coalesce(dedup_key, '') <> '' and coalesce(session_id, '') <> ''"
+
+
 def upsert_facts(rows: DataFrame, sequence: str) -> DataFrame:
     """Canonical events, one per key, with the owner rule of replays.
 
@@ -29,7 +33,7 @@ def upsert_facts(rows: DataFrame, sequence: str) -> DataFrame:
     of other sessions are ignored. Within the owner the last row counts, but request id, boundary and bill
     keep the last value that was stated. Rows without key or session are rejected.
     """
-    fine = rows.where("coalesce(dedup_key, '') <> '' and coalesce(session_id, '') <> ''")
+    fine = rows.where(VALID)
     sticky = ("request_id", "boundary")
     plain = [c for c in rows.columns if c not in (*KEY, "session_id", *sticky, "bill_amount", "bill_unit", sequence)]
     root = F.coalesce("parent_id", F.lit("")) == ""

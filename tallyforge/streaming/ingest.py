@@ -9,43 +9,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.merge import first_inserts, upsert_facts
+from tallyforge.operators.merge import VALID, first_inserts, upsert_facts
+from tallyforge.schema import KEY
 
 
 class FactStore:
-    """Facts as Parquet versions under one folder; a pointer file names the current one.
+    """Facts as a merged base and the batches since, all Parquet under one folder; a pointer file names what counts.
 
-    A batch is written as a new version and then published by one atomic rename, so readers see all of a batch or
-    nothing, and a batch that is delivered again changes nothing.
+    A commit writes the batch alone and publishes it by one atomic rename of the pointer, so its cost follows the batch, not
+    the table, readers see all of a batch or nothing, and a batch that is delivered again changes nothing. After
+    ``compact_every`` batches the merge is written as a new base.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, sequence: str = "delivery_id") -> None:
-        self.spark, self.folder, self.sequence = spark, folder, sequence
+    def __init__(self, spark: SparkSession, folder: str, sequence: str = "delivery_id", compact_every: int = 16) -> None:
+        self.spark, self.folder, self.sequence, self.compact_every = spark, folder, sequence, compact_every
         os.makedirs(folder, exist_ok=True)
 
     def _pointer(self) -> dict:
         path = os.path.join(self.folder, "CURRENT")
-        return json.load(open(path)) if os.path.exists(path) else {"batch": -1, "path": None}
+        if not os.path.exists(path):
+            return {"batch": -1, "parts": []}
+        with open(path) as f:
+            return json.load(f)
+
+    def _publish(self, pointer: dict) -> None:
+        path = os.path.join(self.folder, "NEXT")
+        with open(path, "w") as f:
+            json.dump(pointer, f)
+        os.replace(path, os.path.join(self.folder, "CURRENT"))
+
+    def _rows(self) -> DataFrame | None:
+        parts = self._pointer()["parts"]
+        return self.spark.read.option("mergeSchema", "true").parquet(*parts) if parts else None
 
     def current(self) -> DataFrame | None:
-        path = self._pointer()["path"]
-        return self.spark.read.parquet(path) if path else None
+        """One row per key, merged as they are read."""
+        rows = self._rows()
+        return upsert_facts(rows, self.sequence) if rows is not None else None
 
     def commit(self, batch: DataFrame, batch_id: int) -> int:
-        """Merges a batch and returns how many keys are new; a batch number that was committed before is skipped."""
+        """Adds a batch and returns how many keys are new; a batch number that was committed before is skipped."""
         at = self._pointer()
         if batch_id <= at["batch"]:
             return 0
-        stored = self.current()
-        new = first_inserts(batch, stored).count() if stored is not None else batch.select("harness", "instance_id", "dedup_key").distinct().count()
-        rows = batch if stored is None else stored.unionByName(batch, allowMissingColumns=True)
-        path = os.path.join(self.folder, f"version-{batch_id:012d}")
-        upsert_facts(rows, self.sequence).write.mode("overwrite").parquet(path)
-        with open(os.path.join(self.folder, "NEXT"), "w") as f:
-            json.dump({"batch": batch_id, "path": path}, f)
-        os.replace(os.path.join(self.folder, "NEXT"), os.path.join(self.folder, "CURRENT"))
+        fine = batch.where(VALID)
+        stored = self._rows()
+        new = (first_inserts(fine, stored) if stored is not None else fine.dropDuplicates(list(KEY))).count()
+        path = os.path.join(self.folder, f"batch-{batch_id:012d}")
+        fine.write.mode("overwrite").parquet(path)
+        self._publish({"batch": batch_id, "parts": [*at["parts"], path]})
+        if len(at["parts"]) >= self.compact_every:
+            self.compact()
         return new
 
+    def compact(self) -> None:
+        """Writes the merge of all parts as the new base."""
+        at, rows = self._pointer(), self.current()
+        if rows is not None:
+            path = os.path.join(self.folder, f"base-{at['batch']:012d}")
+            rows.write.mode("overwrite").parquet(path)
+            self._publish({"batch": at["batch"], "parts": [path]})
+
 
 def run_ingest(stream: DataFrame, store: FactStore, checkpoint: str, report: Callable[[int, int], None] | None = None, available_now: bool = True):
     """Streaming query that commits every micro-batch to the store; ``report`` hears (batch, new keys)."""
