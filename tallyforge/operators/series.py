@@ -27,8 +27,7 @@ def dense(df: DataFrame, ts: str, measures: Sequence[str], unit: str = "DAY", st
 
 def fold_bars(days: DataFrame, day: str, measure: str, daily_max: int = 180, weekly_max: int = 1095) -> DataFrame:
     """Bars of a dense daily series: days while it is short, weeks counted back from the newest day, else calendar months."""
-    span = days.agg(F.count(F.lit(1)).alias("_n"), F.max(day).alias("_last"))
-    both = days.crossJoin(F.broadcast(span))  # one row
+    both = days.withColumns({"_n": days.agg(F.count(F.lit(1))).scalar(), "_last": days.agg(F.max(day)).scalar()})
     week = F.date_sub("_last", (F.floor(F.datediff("_last", day) / 7) * 7 + 6).cast("int"))
     start = F.when(F.col("_n") <= daily_max, F.col(day).cast("date")).when(F.col("_n") <= weekly_max, week).otherwise(F.trunc(day, "MONTH"))
     unit = F.when(F.col("_n") <= daily_max, "day").when(F.col("_n") <= weekly_max, "week").otherwise("month")
@@ -59,12 +58,12 @@ def streaks(days: DataFrame, day: str, active: Column) -> DataFrame:
 
     A run is current if it reaches the last day of the series, or the day before while the last one is still empty.
     """
-    last = days.agg(F.max(day).alias("_end"))
+    end = days.agg(F.max(day)).scalar()
     on = days.where(active).select(F.col(day).cast("date").alias("d"))
     w = Window.orderBy("d")  # one row per calendar day
     runs = on.withColumn("_g", F.date_sub("d", F.row_number().over(w))).groupBy("_g").agg(
         F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count(F.lit(1)).alias("length"))
-    return runs.crossJoin(F.broadcast(last)).select("first_day", "last_day", "length", (F.datediff("_end", "last_day") <= 1).alias("current"))
+    return runs.select("first_day", "last_day", "length", (F.datediff(end, F.col("last_day")) <= 1).alias("current"))
 
 
 def heat_levels(days: DataFrame, cost: str, tokens: str) -> DataFrame:
@@ -72,8 +71,8 @@ def heat_levels(days: DataFrame, cost: str, tokens: str) -> DataFrame:
 
     The sorted costs are one array as long as the calendar.
     """
-    q = days.agg(F.sort_array(F.collect_list(F.when(F.col(cost) > 0, F.col(cost)))).alias("_q"))
+    q = days.agg(F.sort_array(F.collect_list(F.when(F.col(cost) > 0, F.col(cost))))).scalar()
     at = lambda f: F.when(F.size("_q") > 0, F.get("_q", F.least(F.floor(F.size("_q") * f), F.size("_q") - 1).cast("int"))).otherwise(0.0)
     c = F.col(cost)
     level = F.when((c <= 0) & (F.col(tokens) == 0), 0).when(c <= at(0.25), 1).when(c <= at(0.5), 2).when(c <= at(0.75), 3).otherwise(4)
-    return days.crossJoin(F.broadcast(q)).withColumn("level", level).drop("_q")
+    return days.withColumn("_q", q).withColumn("level", level).drop("_q")

@@ -64,9 +64,8 @@ def page(rows: DataFrame, order: str = "recent", limit: int = 0, offset: int = 0
     """
     first = {"recent": F.desc("updated_at"), "tokens": F.desc("total"), "cost": F.desc("cost")}[order]
     roots = rows.where("parent_id = '' and requests > 0")
-    count = roots.agg(F.count(F.lit(1)).alias("of_total"))
     out = roots.orderBy(first, "harness", "session_id", "instance_id").offset(max(offset, 0))
-    return (out.limit(limit) if limit > 0 else out).crossJoin(F.broadcast(count))  # one row
+    return (out.limit(limit) if limit > 0 else out).withColumn("of_total", roots.agg(F.count(F.lit(1))).scalar())
 
 
 def breakdown(events: DataFrame, tree: DataFrame) -> DataFrame:
@@ -85,7 +84,6 @@ def detail(events: DataFrame, meta: DataFrame, harness: str, session_id: str) ->
     mine = (F.col("harness") == harness) & (F.col("instance_id") == (instances[0] if instances else "default"))
     rows = session_rows(events.where(mine), meta.where(mine))
     own = events.where(mine & (F.col("session_id") == session_id)).orderBy("ts", "dedup_key")
-    span = own.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
-    wide = rows.where(F.col("session_id") == session_id).crossJoin(F.broadcast(span)).withColumn("started_at", F.least("started_at", "_lo")).withColumn(
-        "updated_at", F.greatest("updated_at", "_hi")).drop("_lo", "_hi")
+    wide = rows.where(F.col("session_id") == session_id).withColumns({
+        "started_at": F.least("started_at", own.agg(F.min("ts")).scalar()), "updated_at": F.greatest("updated_at", own.agg(F.max("ts")).scalar())})
     return wide, rows.where(F.col("parent_id") == session_id).orderBy(F.desc("updated_at"), "session_id"), own

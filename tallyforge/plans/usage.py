@@ -602,8 +602,8 @@ def overview_sums(spark, sf):
 def forecast_and_delta(spark, sf):
     o = overview_sums(spark, sf)
     micro = F.round(F.col("cost") * 1_000_000).cast("bigint")
-    w = facts(spark, sf).where("ts >= timestamp '2026-08-23' and ts < timestamp '2026-08-30'").agg(F.coalesce(F.sum(micro), F.lit(0)).alias("w"))
-    return o.crossJoin(w).select(F.round((F.col("month") + F.col("w") / 7.0) / 1_000_000, 4).alias("forecast"), F.round(F.col("month") / F.col("last_month") - 1, 6).alias("delta"))
+    w = facts(spark, sf).where("ts >= timestamp '2026-08-23' and ts < timestamp '2026-08-30'").agg(F.coalesce(F.sum(micro), F.lit(0))).scalar()
+    return o.select(F.round((F.col("month") + w / 7.0) / 1_000_000, 4).alias("forecast"), F.round(F.col("month") / F.col("last_month") - 1, 6).alias("delta"))
 
 
 @query("""with d as (select o_custkey, cast(o_orderdate as date) as day, sum(o_totalprice) as used from orders group by 1, 2), r as (select *, row_number() over (partition by o_custkey order by day desc) as rn from d)
