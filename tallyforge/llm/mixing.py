@@ -112,10 +112,9 @@ def plan(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     Languages within a source weigh as much as their tokens. A source without documents has one leaf of zero
     tokens. Null weights and repeats count as zero; a mix whose weights sum to zero wants nothing.
     """
-    total = sizes.agg(F.sum("tokens").alias("all_tokens"))
     t = targets.select("mix_id", "source_label", source_key("source_label").alias("source_key"), F.coalesce("weight", F.lit(0.0)).alias("weight"),
                        F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.coalesce("budget_ratio", F.lit(0.0)).alias("budget_ratio"))
-    joined = t.join(sizes, "source_key", "left").crossJoin(F.broadcast(total))  # one row
+    joined = t.join(sizes, "source_key", "left").withColumn("all_tokens", sizes.agg(F.sum("tokens")).scalar())
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["source_label", "lang"], na_position="first").reset_index(drop=True)

@@ -24,29 +24,31 @@ def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("windows") > 0).alias("exact_docs"), F.count_if(F.col("windows") == 0).alias("near_docs"), F.max("windows").alias("most_windows"))
 
 
-def _plan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    counted = mixing.with_tokens(table(spark, sf, "documents"))
-    return counted, mixing.plan(table(spark, sf, "mix_targets"), mixing.leaf_sizes(counted))
+def _planned(spark: SparkSession, sf: str, counted: DataFrame) -> DataFrame:
+    sizes = cut(mixing.leaf_sizes(counted))  # used twice, and counting tokens is what costs
+    return mixing.plan(table(spark, sf, "mix_targets"), sizes)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Targets whose source is too small even with all repeats."""
-    _, planned = _plan(spark, sf)
+    planned = _planned(spark, sf, mixing.with_tokens(table(spark, sf, "documents")))
     return planned.where("short").select("mix_id", "source_label").distinct()
 
 
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    counted = cut(mixing.with_tokens(table(spark, sf, "documents")))
+    planned = cut(_planned(spark, sf, counted))
+    return planned, mixing.select_documents(counted, planned)
+
+
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of every mix, with their number of copies."""
-    counted = cut(mixing.with_tokens(table(spark, sf, "documents")))
-    planned = cut(mixing.plan(table(spark, sf, "mix_targets"), mixing.leaf_sizes(counted)))
-    return mixing.select_documents(counted, planned)
+    return _mixed(spark, sf)[1]
 
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     """Shares wanted and reached of every mix and source."""
-    counted = cut(mixing.with_tokens(table(spark, sf, "documents")))
-    planned = cut(mixing.plan(table(spark, sf, "mix_targets"), mixing.leaf_sizes(counted)))
-    return mixing.mix_report(planned, mixing.select_documents(counted, planned))
+    return mixing.mix_report(*_mixed(spark, sf))
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
