@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import hit_rate, total
-from tallyforge.schema import TOKENS
+from tallyforge.schema import SESSION_KEY, TOKENS
 
 
 def measures() -> list[Column]:
@@ -17,16 +15,27 @@ def measures() -> list[Column]:
             F.count_if(~F.col("priced")).alias("unpriced")]
 
 
-def totals(events: DataFrame, root: Sequence[str] = ("harness", "instance_id", "root_id")) -> DataFrame:
-    """One row: sums, distinct root sessions, share of the prompt read from the cache."""
-    out = events.agg(*measures(), F.count_distinct(F.struct(*root)).alias("sessions"))
+def _rooted(events: DataFrame, tree: DataFrame, *key: str) -> DataFrame:
+    """Sums per session and key with the root of each session. Events are summed before they meet the tree, so a session with
+    a third of all events is a few rows in the join."""
+    per = events.groupBy(*SESSION_KEY, *key).agg(*measures())
+    return per.join(tree.select(*SESSION_KEY, "root_id"), list(SESSION_KEY), "left").withColumn("root_id", F.coalesce("root_id", "session_id"))
+
+
+def _resum() -> list[Column]:
+    return [*[F.sum(t).alias(t) for t in TOKENS], F.round(F.sum("cost"), 6).alias("cost"), F.sum("requests").alias("requests"), F.sum("unpriced").alias("unpriced"),
+            F.count_distinct("harness", "instance_id", "root_id").alias("sessions")]
+
+
+def totals(events: DataFrame, tree: DataFrame) -> DataFrame:
+    """One row: sums, distinct root sessions (a session nobody describes is its own root), share of the prompt read from the cache."""
+    out = _rooted(events, tree).agg(*_resum())
     return out.fillna(0).withColumn("cache_hit", F.round(hit_rate(F.col("cache_read"), F.col("input"), F.col("cache_write")), 6))
 
 
-def ranking(events: DataFrame, *key: str) -> DataFrame:
+def ranking(events: DataFrame, tree: DataFrame, *key: str) -> DataFrame:
     """Sums per key, the largest token total first."""
-    out = events.groupBy(*key).agg(*measures(), F.count_distinct("harness", "instance_id", "root_id").alias("sessions"))
-    return out.withColumn("total", total()).orderBy(F.desc("total"), *key)
+    return _rooted(events, tree, *[k for k in key if k not in SESSION_KEY]).groupBy(*key).agg(*_resum()).withColumn("total", total()).orderBy(F.desc("total"), *key)
 
 
 def usage(events: DataFrame, unit: str = "DAY") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,16 +55,18 @@ def nearest_within(left: DataFrame, right: DataFrame, on: Sequence[str], at: str
     return left.join(best, left_id, "left").select(*left.columns, *[F.col(f"_best._r_v_{v}").alias(v) for v in values])
 
 
-def first_matching_rule(left: DataFrame, rules: DataFrame, left_id: str, condition: Column, ordinal: str, value: str, bound: int = 10_000) -> DataFrame:
-    """Adds ``value`` of the first rule in list order whose ``condition`` holds (null if none does).
+def first_matching_rule(df: DataFrame, rules: Sequence[dict], condition: Callable[[dict], Column], name: str, value: str, bound: int = 1_000) -> DataFrame:
+    """Adds ``name``: the ``value`` of the first rule in list order whose condition holds, null if none does.
 
-    Rules are a hand-written list: more than ``bound`` of them raise, so the nested-loop broadcast stays bounded.
+    Rules are a hand-written list (more than ``bound`` raise): they become one CASE expression, so rows are neither
+    joined nor shuffled.
     """
-    n = rules.count()
-    if n > bound:
-        raise ValueError(f"{n} rules; at most {bound} are matched by broadcast")
-    hits = left.join(F.broadcast(rules), condition).groupBy(left_id).agg(F.min_by(value, ordinal).alias(value))
-    return left.join(hits, left_id, "left")
+    if len(rules) > bound:
+        raise ValueError(f"{len(rules)} rules; at most {bound} make one expression")
+    out = None
+    for r in rules:
+        out = F.when(condition(r), F.lit(r[value])) if out is None else out.when(condition(r), F.lit(r[value]))
+    return df.withColumn(name, out if out is not None else F.lit(None).cast("string"))
 
 
 def interval_anti(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, right_at: str, within_s: float) -> DataFrame:

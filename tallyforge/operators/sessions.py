@@ -32,11 +32,6 @@ def session_tree(meta: DataFrame) -> DataFrame:
                        F.coalesce("path", F.array("node")).alias("path"))
 
 
-def with_root(events: DataFrame, tree: DataFrame) -> DataFrame:
-    """Events with the root of their session; a session nobody describes is its own root."""
-    return events.join(tree.select(*SESSION_KEY, "root_id"), list(SESSION_KEY), "left").withColumn("root_id", F.coalesce("root_id", "session_id"))
-
-
 def rolled_up(events: DataFrame, tree: DataFrame) -> DataFrame:
     """Sums per session over its own events and those of all its descendants.
 

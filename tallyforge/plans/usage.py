@@ -93,15 +93,15 @@ def _with(body: str, *, meta: bool = False, only_d: bool = False) -> str:
     return "with recursive" + (_D if only_d else _FACTS + (_META if meta else "")) + "\n" + body
 
 
-def _rooted(spark: SparkSession, sf: str) -> DataFrame:
-    return H.with_root(facts(spark, sf), H.session_tree(sessions(spark, sf)))
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    return H.session_tree(sessions(spark, sf))
 
 
 # ---- totals and rankings
 
 @query(_with(f"select {_MEASURES}, count(distinct (harness, instance_id, root_id)) as sessions, round(sum(cache_read) / sum(input + cache_read + cache_write), 6) as cache_hit from rooted", meta=True))
 def totals(spark, sf):
-    return A.totals(_rooted(spark, sf))
+    return A.totals(facts(spark, sf), _tree(spark, sf))
 
 
 def _ranking(name: str, keys: str) -> None:
@@ -109,7 +109,7 @@ def _ranking(name: str, keys: str) -> None:
 
     @query(_with(f"select {keys}, {_MEASURES}, count(distinct (harness, instance_id, root_id)) as sessions, cast(sum({_TOTAL}) as bigint) as total from rooted group by {keys}", meta=True), name=name)
     def run(spark, sf):
-        return A.ranking(_rooted(spark, sf), *cols)
+        return A.ranking(facts(spark, sf), _tree(spark, sf), *cols)
 
 
 for _name, _keys in (("by_harness", "harness"), ("by_model", "model"), ("by_provider", "resolved_provider"), ("by_project", "project")):
@@ -523,9 +523,12 @@ _RULES = [(1, "codex", "", "rule-a"), (2, "", "opal-max", "rule-b"), (3, "codex"
 
 @query(_with(f"""select delivery_id, (select p from (values {', '.join(map(str, _RULES))}) r(o, h, m, p) where (h = '' or h = f.harness) and (m = '' or m = f.model) order by o limit 1) as picked from facts f"""))
 def rule_first_match(spark, sf):
-    rules = spark.createDataFrame(_RULES, "ord int, r_harness string, r_model string, picked string")
-    cond = ((F.col("r_harness") == "") | (F.col("r_harness") == F.col("harness"))) & ((F.col("r_model") == "") | (F.col("r_model") == F.col("model")))
-    return asof.first_matching_rule(facts(spark, sf).select("delivery_id", "harness", "model"), rules, "delivery_id", cond, "ord", "picked").select("delivery_id", "picked")
+    rules = [dict(zip(("harness", "model", "picked"), r[1:])) for r in _RULES]
+
+    def fits(r: dict):
+        return (F.lit(r["harness"] == "") | (F.col("harness") == r["harness"])) & (F.lit(r["model"] == "") | (F.col("model") == r["model"]))
+
+    return asof.first_matching_rule(facts(spark, sf), rules, fits, "picked", "picked").select("delivery_id", "picked")
 
 
 @query("""select event_id from events a where event_type = 'view' and not exists (select 1 from events b where b.event_type = 'click' and b.user_id = a.user_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000)""")

@@ -95,10 +95,29 @@ def test_nearest_and_rules(spark):
     got = {r.id: r.v for r in asof.nearest_within(left, right, ["k"], "at", "at2", 120, "id", "n", ["v"]).collect()}
     assert got == {1: "a", 2: None, 3: None, 4: None}
     assert {r.id for r in asof.interval_anti(left, right, ["k"], "at", "at2", 10).collect()} == {2, 3, 4}
-    rules = spark.createDataFrame([(1, "x"), (2, "y")], "o int, v string")
-    assert {r.id: r.v for r in asof.first_matching_rule(left, rules, "id", F.col("id") % 2 == F.col("o") % 2, "o", "v").collect()} == {1: "x", 2: "y", 3: "x", 4: "y"}
+    rules = [{"o": 1, "v": "x"}, {"o": 2, "v": "y"}, {"o": 3, "v": "z"}]
+    fits = lambda r: F.col("id") % 2 == r["o"] % 2
+    assert {r.id: r.v for r in asof.first_matching_rule(left, rules, fits, "v", "v").collect()} == {1: "x", 2: "y", 3: "x", 4: "y"}
+    assert {r.v for r in asof.first_matching_rule(left, [], fits, "v", "v").collect()} == {None}
     with pytest.raises(ValueError):
-        asof.first_matching_rule(left, rules, "id", F.lit(True), "o", "v", bound=1)
+        asof.first_matching_rule(left, rules, fits, "v", "v", bound=1)
+
+
+def test_carried_blocks_equal_plain_windows(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "b", None]), datetime(2026, 1, 1) + timedelta(hours=rng.randrange(300)), i, rng.choice([None, *range(9)])) for i in range(300)] + [("a", None, 900, 3), ("a", None, 901, None)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id int, v int").withColumn("_val", F.lit("mine"))
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    up, past, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    plain = {"sum": F.sum("v").over(up), "max_before": F.max("v").over(past), "last": F.last("v", True).over(up), "next": F.first("v", True).over(on), "lag": F.lag("v").over(w)}
+    for how, c in plain.items():
+        want = {r.id: r.x for r in df.withColumn("x", c).collect()}
+        out = ordered.carried(df, ["k"], ["ts", "id"], F.col("v"), how, "x", size=0.3)
+        assert out.columns == [*df.columns, "x"]
+        assert {r.id: r.x for r in out.collect()} == want, how
+    assert ordered.carried(df.where("false"), ["k"], ["ts", "id"], F.col("v"), "sum", "x").count() == 0
 
 
 def test_dense_days_across_a_clock_change(spark):
@@ -151,7 +170,7 @@ def test_session_example(spark):
     meta = spark.createDataFrame([("h", "i", "p", "", "T", "pr", t, t), ("h", "i", "c", "p", "", "", t, t), ("h", "i", "q", "", "", "", t, t)], "harness string, instance_id string, session_id string, parent_id string, title string, project string, started_at timestamp, updated_at timestamp")
     from tallyforge.operators.aggregates import totals
 
-    r = totals(H.with_root(ev, H.session_tree(meta))).collect()[0]
+    r = totals(ev, H.session_tree(meta)).collect()[0]
     assert (r.requests, r.sessions, r.input + r.output + r.cache_read + r.cache_write, r.unpriced) == (3, 2, 230, 1) and r.cache_hit == round(50 / 210, 6)
     rows = {x.session_id: x for x in H.session_rows(ev, meta).collect()}
     assert rows["p"].total == 220 and rows["p"].children == 1 and rows["c"].total == 50
@@ -167,5 +186,6 @@ def test_empty_facts(spark):
     from tallyforge import adapters
     from tallyforge.operators.aggregates import ranking, totals
 
-    empty = adapters.facts(spark, "/root/testdata/sf0.001").where("false").withColumn("root_id", F.lit(""))
-    assert totals(empty).collect()[0].requests == 0 and ranking(empty, "model").count() == 0
+    empty = adapters.facts(spark, "/root/testdata/sf0.001").where("false")
+    tree = H.session_tree(adapters.sessions(spark, "/root/testdata/sf0.001").where("false"))
+    assert totals(empty, tree).collect()[0].requests == 0 and ranking(empty, tree, "model").count() == 0
