@@ -7,7 +7,7 @@ import re
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.runtime import fresh
@@ -63,3 +63,14 @@ def with_endpoint(df: DataFrame, url: str, name: str = "endpoint", tag: str = "e
     known = df.select(F.col(url).alias(key)).where(F.col(key).isNotNull()).distinct().mapInPandas(run, f"`{key}` string, `{name}` string")
     known = known.withColumn(f"{name}_id", F.when(F.col(name).isNotNull(), F.concat(F.lit(tag), F.sha2(F.concat(F.lit("provider-" + tag), F.col(name)), 256))))
     return df.join(known, df[url] == known[key], "left").drop(key)
+
+
+def provider_id(endpoint_id: str = "endpoint_id") -> Column:
+    """Identity of the provider behind an event: that of its endpoint, else a hash of what the log says about it.
+
+    The hash is over a JSON array in which ``<``, ``>`` and ``&`` are escaped.
+    """
+    said = F.to_json(F.array("harness", "instance_id", "resolved_provider", "base_url"))
+    for plain, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        said = F.replace(said, F.lit(plain), F.lit(code))
+    return F.coalesce(F.col(endpoint_id), F.concat(F.lit("unresolved:v1:"), F.sha2(said, 256)))

@@ -83,6 +83,17 @@ def replace_sessions(stored: DataFrame, reread: DataFrame, scope: DataFrame) ->
     return stored.join(scope.select(*SESSION_KEY).distinct(), list(SESSION_KEY), "left_anti").unionByName(reread, allowMissingColumns=True)
 
 
+def overlay(fresh: DataFrame, base: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of ``fresh`` and those of ``base`` whose key it does not have."""
+    return fresh.unionByName(base.join(fresh.select(*key).distinct(), list(key), "left_anti").select(*base.columns), allowMissingColumns=True)
+
+
+def best_spelling(df: DataFrame, key: str, rank: Sequence[str]) -> DataFrame:
+    """One row per key: the one that is smallest by ``rank``."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*rank)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def fold_tokens(*extra: str) -> list:
     """Sums of all token classes for use in ``agg``."""
     return [F.sum(t).alias(t) for t in (*TOKENS, *extra)]

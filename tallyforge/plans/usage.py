@@ -554,7 +554,8 @@ def catalog_search(spark, sf):
 
 @query("""select brand, p_name from (select upper(p_brand) as brand, p_name, row_number() over (partition by upper(p_brand) order by p_size, p_name, p_partkey) as rn from part) where rn = 1""")
 def best_spelling(spark, sf):
-    return table(spark, sf, "part").groupBy(F.upper("p_brand").alias("brand")).agg(F.min_by("p_name", F.struct("p_size", "p_name", "p_partkey")).alias("p_name"))
+    parts = table(spark, sf, "part").select(F.upper("p_brand").alias("brand"), "p_name", "p_size", "p_partkey")
+    return merge.best_spelling(parts, "brand", ["p_size", "p_name", "p_partkey"]).select("brand", "p_name")
 
 
 @query(_with("""select distinct provider, base_url, resolved_provider from facts"""))
@@ -584,6 +585,38 @@ def props_json_decode(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
+def _chat_sql() -> str:
+    from tallyforge.operators.drift import USAGE_NAMES
+
+    def num(path: str) -> str:
+        return f"try_cast(json_extract_string(body, '$.{path}') as double)"
+
+    def first(at: str, q: str) -> str:
+        return f"greatest(cast(trunc(coalesce({', '.join(num(f'{at}.{n}') for n in USAGE_NAMES[q])}, 0)) as bigint), 0)"
+
+    cols = []
+    for i, at in enumerate(("metadata.usage", "metadata.codebuff.usage")):
+        alone = f"{num(at + '.inputTokens')} is null and {num(at + '.input_tokens')} is not null"
+        inp, out, read, write = (first(at, q) for q in ("input", "output", "cache_read", "cache_write"))
+        cols.append(f"case when {alone} then {inp} else greatest({inp} - {read} - {write}, 0) end as i{i}, {out} as o{i}, {read} as r{i}, {write} as w{i}")
+    pick = ", ".join(f"case when i0 + o0 + r0 + w0 > 0 then {c}0 else {c}1 end as {n}" for c, n in zip("iorw", ("input", "output", "cache_read", "cache_write")))
+    return f"""with u as (select 'codebuff:' || replace(source_path, '/', '_') || ':' || json_extract_string(body, '$.id') as dedup_key, lower(coalesce(nullif(json_extract_string(body, '$.variant'), ''), json_extract_string(body, '$.role'))) as kind,
+      greatest(try_cast(json_extract_string(body, '$.credits') as double), 0) as credit, {', '.join(cols)} from chat_lines where coalesce(json_extract_string(body, '$.timestamp'), json_extract_string(body, '$.metadata.timestamp')) is not null),
+     p as (select dedup_key, kind, credit, {pick} from u)
+     select dedup_key, max(input) as input, max(output) as output, max(cache_read) as cache_read, max(cache_write) as cache_write from p
+     where kind in ('ai', 'agent', 'assistant') and (input + output + cache_read + cache_write > 0 or credit is not null) group by 1"""
+
+
+@query(_chat_sql())
+def reader_codebuff(spark, sf):
+    """The chat reader over all chat lines, each line a message of the document it was written to."""
+    from tallyforge.sources.dialects import READERS
+
+    lines = table(spark, sf, "chat_lines").where("body is not null").select(
+        F.concat(F.translate("source_path", "/", "_"), F.lit("/chat")).alias("source_path"), F.concat(F.lit("["), "body", F.lit("]")).alias("line"))
+    return READERS["codebuff"](lines).select("dedup_key", "input", "output", "cache_read", "cache_write")
+
+
 # ---- reporting periods
 
 def _sum_if(cond: str) -> str:
@@ -596,17 +629,29 @@ _PERIODS = {"today": ("2026-08-30", "2026-08-31"), "yesterday": ("2026-08-29", "
 
 @query(_with("select " + ", ".join(_sum_if(f"ts >= timestamp '{a}' and ts < timestamp '{b}'") + f" as {n}" for n, (a, b) in _PERIODS.items()) + " from facts"))
 def overview_sums(spark, sf):
-    micro = F.round(F.col("cost") * 1_000_000).cast("bigint")
-    inside = lambda a, b: (F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp"))
-    return facts(spark, sf).agg(*[F.coalesce(F.sum(F.when(inside(a, b), micro)), F.lit(0)).alias(n) for n, (a, b) in _PERIODS.items()])
+    from datetime import date, timedelta, timezone
+
+    from tallyforge.operators import periods as P
+
+    today, utc = date(2026, 8, 30), timezone.utc
+    day, month = P.period("day", today, utc), P.period("month", today, utc)
+    spans = {"today": day, "yesterday": P.previous("day", day, utc), "month": month, "last_month": P.previous("month", month, utc)}
+    spans |= {f"d{n}": (P.day_start(today - timedelta(days=n - 1), utc), day.end) for n in (7, 30, 90)}
+    return P.period_sums(facts(spark, sf), spans, F.round(F.col("cost") * 1_000_000).cast("bigint"))
 
 
 @query(_with("select round((m + w / 7.0 * 1) / 1000000, 4) as forecast, round(m / lm - 1, 6) as delta from (select " + _sum_if("ts >= timestamp '2026-08-01'") + " as m, " + _sum_if("ts >= timestamp '2026-08-23' and ts < timestamp '2026-08-30'") + " as w, " + _sum_if("ts >= timestamp '2026-07-01' and ts < timestamp '2026-08-01'") + " as lm from facts)"))
 def forecast_and_delta(spark, sf):
-    o = overview_sums(spark, sf)
-    micro = F.round(F.col("cost") * 1_000_000).cast("bigint")
-    w = facts(spark, sf).where("ts >= timestamp '2026-08-23' and ts < timestamp '2026-08-30'").agg(F.coalesce(F.sum(micro), F.lit(0))).scalar()
-    return o.select(F.round((F.col("month") + w / 7.0) / 1_000_000, 4).alias("forecast"), F.round(F.col("month") / F.col("last_month") - 1, 6).alias("delta"))
+    from datetime import date, timedelta, timezone
+
+    from tallyforge.operators import periods as P
+
+    today, utc = date(2026, 8, 30), timezone.utc
+    month = P.period("month", today, utc)
+    spans = {"m": month, "lm": P.previous("month", month, utc), "w": (P.day_start(today - timedelta(days=7), utc), P.day_start(today, utc))}
+    sums = P.period_sums(facts(spark, sf), spans, F.round(F.col("cost") * 1_000_000).cast("bigint"))
+    left = (month.last - today).days - 1
+    return sums.select(F.round((F.col("m") + F.col("w") / 7.0 * left) / 1_000_000, 4).alias("forecast"), F.round(P.delta(F.col("m"), F.col("lm")), 6).alias("delta"))
 
 
 @query("""with d as (select o_custkey, cast(o_orderdate as date) as day, sum(o_totalprice) as used from orders group by 1, 2), r as (select *, row_number() over (partition by o_custkey order by day desc) as rn from d)

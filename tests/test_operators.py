@@ -189,3 +189,45 @@ def test_empty_facts(spark):
     empty = adapters.facts(spark, "/root/testdata/sf0.001").where("false")
     tree = H.session_tree(adapters.sessions(spark, "/root/testdata/sf0.001").where("false"))
     assert totals(empty, tree).collect()[0].requests == 0 and ranking(empty, tree, "model").count() == 0
+
+
+def test_periods_in_every_kind_of_zone(spark):
+    from datetime import date
+
+    from tallyforge.operators import periods as P
+
+    for zone in map(ZoneInfo, ("UTC", "America/Sao_Paulo", "Asia/Kathmandu", "Australia/Lord_Howe", "Africa/Cairo", "Asia/Beirut")):
+        day = date(2018, 1, 1)
+        while day < date(2019, 1, 1):
+            start = P.day_start(day, zone)
+            assert start.astimezone(zone).date() == day and (start - timedelta(minutes=1)).astimezone(zone).date() < day
+            day += timedelta(days=1)
+    p = P.period("day", date(2018, 11, 4), ZoneInfo("America/Sao_Paulo"))
+    assert p.end - p.start == timedelta(hours=23)
+    utc = timezone.utc
+    month = P.period("month", date(2026, 3, 31), utc)
+    assert (month.first, month.last) == (date(2026, 3, 1), date(2026, 4, 1)) and P.period("week", date(2026, 3, 1), utc).first == date(2026, 2, 23)
+    a, b = P.comparison("month", month, datetime(2026, 3, 30, tzinfo=utc), utc)
+    assert (a, b) == (datetime(2026, 2, 1, tzinfo=utc), datetime(2026, 3, 1, tzinfo=utc))
+    df = spark.createDataFrame([(100.0, 99.7), (2.0, 1.0), (1.0, 0.0)], "a double, b double").select(P.delta(F.col("a"), F.col("b")).alias("d"))
+    assert [r.d for r in df.collect()] == [0.0, 1.0, None]
+
+
+def test_sinks_and_overlay(spark, tmp_path):
+    from tallyforge.functions.endpoints import provider_id
+    from tallyforge.sources import sinks
+
+    outcomes = spark.createDataFrame([("h", "a", "1", "ok"), ("h", "a", "2", "locked"), ("h", "b", "1", "ok"), ("h", "b", "2", "empty"), ("h", "c", "1", "empty"), ("h", "d", "1", "odd")], "harness string, instance_id string, source_path string, reason string")
+    assert {r.instance_id: r.reason for r in sinks.diagnose(outcomes).collect()} == {"a": "locked", "b": "ok", "c": "empty", "d": "read_error"}
+    base, new = (spark.createDataFrame(r, "k string, v int") for r in ([("a", 1), ("b", 2)], [("b", 9), ("c", 3)]))
+    assert {(r.k, r.v) for r in merge.overlay(new, base, ["k"]).collect()} == {("a", 1), ("b", 9), ("c", 3)}
+    ids = spark.createDataFrame([("h", "i", "p<&", "", None), ("h", "i", "p", "", "endpoint:v1:x")], "harness string, instance_id string, resolved_provider string, base_url string, endpoint_id string").select(provider_id().alias("i")).collect()
+    import hashlib
+
+    assert ids[1].i == "endpoint:v1:x" and ids[0].i == "unresolved:v1:" + hashlib.sha256(b'["h","i","p\\u003c\\u0026",""]').hexdigest()
+    t = datetime(2026, 1, 1)
+    rows = spark.createDataFrame([("h", "i", "s", "", 'a "b", c', "p", t, t, 1, 2, 3, 4, 5, 0.5)], "harness string, instance_id string, session_id string, parent_id string, title string, project string, started_at timestamp, updated_at timestamp, requests int, input int, output int, cache_read int, cache_write int, cost double")
+    models = spark.createDataFrame([("h", "i", "s", "m2"), ("h", "i", "s", "m1")], "harness string, instance_id string, session_id string, model string")
+    sinks.write_csv(sinks.session_export(rows, models), str(tmp_path / "out"))
+    back = spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "out")).collect()[0]
+    assert back.title == 'a "b", c' and back.models == "m1 m2" and back.started_at == "2026-01-01T00:00:00Z" and len(back) == 14
