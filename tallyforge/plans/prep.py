@@ -144,6 +144,30 @@ roll as (select *, round(sum(amount) over w7, 6) as t7, round(sum(amount) over w
          w30 as (partition by instance_id, project order by day rows between 29 preceding and current row)),
 peaks as (select *, max(t7) over (partition by instance_id, project order by day rows between unbounded preceding and 1 preceding) as before from roll)
 """
+
+
+def _p4_sql() -> str:
+    """Changes between files by comparing their member paths pair by pair."""
+    known = ", ".join(f"('{q}', {k}, '{p}')" for q, paths in drift.CHAT_FIELDS.items() for k, p in enumerate(paths))
+    return f"""
+with leaf as (
+  select stream_id, file_no, substr(t.fullkey, 3) as path, case t.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' else 'number' end as kind
+  from chat_lines, json_tree(body) t where t.type not in ('OBJECT', 'NULL') and t.fullkey <> '$' and not contains(t.fullkey, '[')),
+per as (select stream_id, file_no, path, string_agg(distinct kind, '+' order by kind) as kind from leaf group by 1, 2, 3),
+pair as (select stream_id, file_no, lag(file_no) over (partition by stream_id order by file_no) as before from (select distinct stream_id, file_no from chat_lines)),
+old as (select pair.stream_id, pair.file_no, per.path, per.kind from pair join per on per.stream_id = pair.stream_id and per.file_no = pair.before),
+new as (select pair.stream_id, pair.file_no, per.path, per.kind from pair join per on per.stream_id = pair.stream_id and per.file_no = pair.file_no where pair.before is not null),
+gone as (select * from old anti join new using (stream_id, file_no, path)), came as (select * from new anti join old using (stream_id, file_no, path)),
+known(quantity, ord, path) as (values {known}),
+g as (select *, row_number() over (partition by stream_id, file_no, quantity order by ord) as k from gone join known using (path)),
+c as (select *, row_number() over (partition by stream_id, file_no, quantity order by ord) as k from came join known using (path)),
+moved as (select g.stream_id, g.file_no, g.path as old_path, c.path as new_path from g join c using (stream_id, file_no, quantity, k))
+select stream_id, file_no, 'retyped' as kind, path as old_path, path as new_path from old join new using (stream_id, file_no, path) where old.kind <> new.kind
+union all select stream_id, file_no, 'renamed', old_path, new_path from moved
+union all select stream_id, file_no, 'removed', path, '' from gone anti join moved on moved.stream_id = gone.stream_id and moved.file_no = gone.file_no and moved.old_path = gone.path
+union all select stream_id, file_no, 'added', '', path from came anti join moved on moved.stream_id = came.stream_id and moved.file_no = came.file_no and moved.new_path = came.path"""
+
+
 ORACLE = {
     "p1_found": _P1_CTE + "select distinct delivery_id from ranked where delivery_id <> first_id",
     "p1_once": _P1_CTE + "select harness, count(*) as requests, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output from ranked where delivery_id = first_id group by 1",
@@ -153,7 +177,16 @@ union all select instance_id, project, strftime(day, '%Y-%m-%d'), 'peak' from pe
     "p2_trailing": _P2_CTE + """
 select instance_id, project, strftime(day, '%Y-%m-%d') as day_key, cast(t7 as double) as total_7, cast(round(cast(s7 / 7 as decimal(38,16)), 6) as double) as avg_7,
        cast(t30 as double) as total_30, cast(round(cast(s30 / 30 as decimal(38,16)), 6) as double) as avg_30 from peaks""",
-    "p4_found": None,
+    "p4_found": _p4_sql(),
+    "p6_descendants": """
+with recursive p as (
+  select '["' || coalesce(harness, '') || '","' || coalesce(nullif(trim(instance_id), ''), 'default') || '"]' as scope, session_id, min(nullif(trim(parent_id), '')) as parent_id
+  from usage_events where trim(coalesce(session_id, '')) <> '' group by 1, 2),
+up as (
+  select scope, session_id, parent_id as top, 1 as depth from p where parent_id is not null
+  union all select u.scope, u.session_id, p.parent_id, u.depth + 1 from up u join p on p.scope = u.scope and p.session_id = u.top and p.parent_id is not null where u.depth < 2000),
+lost as (select scope, session_id from up where depth >= 2000)
+select scope, top as ancestor, count(*) as below, cast(max(depth) as integer) as levels from up anti join lost using (scope, session_id) group by 1, 2""",
     "p6_found": """
 with recursive p as (
   select harness, coalesce(nullif(trim(instance_id), ''), 'default') as instance_id, session_id, min(nullif(trim(parent_id), '')) as parent_id
@@ -167,4 +200,3 @@ far as (select harness, instance_id, session_id, max(depth) as depth, max_by(top
 select harness, instance_id, session_id, case when depth >= 2000 then '(cycle)' else root_id end as root_id,
        cast(case when depth >= 2000 then -1 else depth end as integer) as depth from far""",
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
