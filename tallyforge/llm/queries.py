@@ -68,4 +68,9 @@ def p9_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_leaked_items, p8_found, p8_mix, p8_report, p9_found, p9_lengths)}
-ORACLE: dict[str, str] = {}
+# sizes in characters: no case of this query depends on the tokenizer
+ORACLE = {"p8_found": r"""
+with d as (select nullif(regexp_replace(lower(source), '[\s_-]', '', 'g'), '') as k, length(text) as n from documents),
+t as (select k, sum(n) as n from d where k is not null group by 1),
+m as (select *, nullif(regexp_replace(lower(source_label), '[\s_-]', '', 'g'), '') as k, weight / sum(weight) over (partition by mix_id) as share from mix_targets)
+select distinct mix_id, source_label from m left join t using (k) where coalesce(n, 0) * max_repeats < share * budget_ratio * (select sum(n) from t)"""}
