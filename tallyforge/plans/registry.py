@@ -21,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.by_model(spark, sf_dir)
+    """Ranking of models over canonical facts, with the root sessions that used them."""
+    return queries()["by_model"](spark, sf_dir)
