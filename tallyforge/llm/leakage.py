@@ -31,7 +31,7 @@ RADIUS = 3  # Hamming radius of the candidate search
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCK_WINDOWS = 500_000  # windows of items that are broadcast at once (24 bytes each)
-_STEP = 40_000  # windows that are fingerprinted at once
+_STEP = 20_000  # windows that are fingerprinted at once
 
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>|<!--.*?-->", re.S)
 # fixed values: tags that end a line or a cell and so part words
@@ -65,19 +65,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+MAX_WEIGHT = 2
+
+
 def word_weight(word: str) -> int:
     """Rare-looking words count double: long ones and those with digits."""
     return 2 if len(word) > 6 or any(c.isdigit() for c in word) else 1
 
 
+def _window_sums(rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of every ``n`` consecutive rows, by doubling: sums of 1, 2, 4, ... rows are combined as the bits of ``n`` say."""
+    count = len(rows) - n + 1
+    out, at, width, part = None, 0, 1, rows
+    while True:
+        if n & width:
+            piece = part[at:at + count]
+            out = piece if out is None else out + piece
+            at += width
+        width *= 2
+        if width > n:
+            return out
+        part = part[:-(width // 2)] + part[width // 2:]
+
+
 def _fingerprints(vectors: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
     """SimHash of every window of ``n`` tokens; ``vectors`` holds the weighted bit signs per distinct token."""
     count = len(code) - n + 1
     out = np.empty(max(count, 0), np.uint64)
+    vectors = vectors if n * MAX_WEIGHT < 128 else vectors.astype(np.int16 if n * MAX_WEIGHT < 2**15 else np.int64)
     for a in range(0, count, _STEP):
-        part = np.cumsum(vectors[code[a:a + _STEP + n - 1]], axis=0, dtype=np.int32)
-        sums = part[n - 1:].copy()
-        sums[1:] -= part[:-n]
+        sums = _window_sums(vectors[code[a:a + _STEP + n - 1]], n)
         out[a:a + len(sums)] = np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
