@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.adapters import deliveries, facts, sessions
 from tallyforge.functions import scalars as S
-from tallyforge.functions.endpoints import with_endpoint
+from tallyforge.functions.endpoints import provider_id, with_endpoint
 from tallyforge.operators import aggregates as A
 from tallyforge.operators import asof, merge, ordered, series
 from tallyforge.operators import sessions as H
@@ -190,6 +190,29 @@ def endpoint_groups(spark, sf):
     return A.provider_groups(known).select("provider_id", "requests", "members")
 
 
+_ID = """case when h <> '' and h not like '127.%' and h <> 'localhost' then 'endpoint:v1:' || sha256('provider-endpoint:v1:' || scheme || '://' || h || case when port = '' or (scheme = 'https' and port = '443') then '' else ':' || port end
+        || regexp_replace(regexp_extract(base_url, '(?i)^https?://[^/]+(.*)$', 1), '/$', ''))
+       else 'unresolved:v1:' || sha256('["' || harness || '","' || instance_id || '","' || resolved_provider || '","' || base_url || '"]') end"""
+_IDENTIFIED = f"(select f.*, {_ID.replace('base_url', 'f.base_url').replace('harness', 'f.harness').replace('instance_id', 'f.instance_id').replace('resolved_provider', 'f.resolved_provider')} as provider_id from facts f join host h on h.delivery_id = f.delivery_id)"
+
+
+def _identified(spark: SparkSession, sf: str) -> DataFrame:
+    return with_endpoint(facts(spark, sf), "base_url").withColumn("provider_id", provider_id())
+
+
+@query(_with(f"select distinct harness, instance_id, resolved_provider, base_url, provider_id from {_IDENTIFIED}"))
+def provider_identity(spark, sf):
+    return _identified(spark, sf).select("harness", "instance_id", "resolved_provider", "base_url", "provider_id").distinct()
+
+
+@query(_with(f"select {_MEASURES} from {_IDENTIFIED} where provider_id = 'endpoint:v1:' || sha256('provider-endpoint:v1:https://api.larkworks.test/v1')"))
+def provider_id_filter(spark, sf):
+    import hashlib
+
+    wanted = "endpoint:v1:" + hashlib.sha256(b"provider-endpoint:v1:https://api.larkworks.test/v1").hexdigest()
+    return _identified(spark, sf).where(Filter(provider_ids=(wanted,)).derived()).agg(*A.measures())
+
+
 @query(_with(f"""select * from (
  select null as harness, null as model, {_MEASURES}, 3 as "grouping", max(ts) as freshest from facts union all
  select harness, null, {_MEASURES}, 2, max(ts) from facts group by harness union all
@@ -490,6 +513,29 @@ def session_breakdown(spark, sf):
     return H.breakdown(facts(spark, sf), cut(H.session_tree(sessions(spark, sf))))
 
 
+_HOT = "0f0e5c1a-7d11-4b8e-9c3d-aa10c0ffee01"
+
+
+@query(_with(f"select dedup_key, ts, model, input, output, cost from facts where harness = 'claude-code' and instance_id = 'default' and session_id = '{_HOT}'"))
+def session_events(spark, sf):
+    ev = facts(spark, sf).where("harness = 'claude-code' and instance_id = 'default'")
+    meta = sessions(spark, sf).where("harness = 'claude-code' and instance_id = 'default'")
+    return H.detail(ev, meta, "claude-code", _HOT)[2].select("dedup_key", "ts", "model", "input", "output", "cost")
+
+
+@query(_with("select 1", meta=True).replace("\nselect 1", _ROWS + f" select session_id, least(started_at, (select min(ts) from facts f where f.harness = 'claude-code' and f.instance_id = 'default' and f.session_id = '{_HOT}')) as started_at, greatest(updated_at, (select max(ts) from facts f where f.harness = 'claude-code' and f.instance_id = 'default' and f.session_id = '{_HOT}')) as updated_at, requests, total, children from srow where harness = 'claude-code' and instance_id = 'default' and session_id = '{_HOT}'"))
+def session_detail(spark, sf):
+    ev = facts(spark, sf).where("harness = 'claude-code' and instance_id = 'default'")
+    meta = sessions(spark, sf).where("harness = 'claude-code' and instance_id = 'default'")
+    return H.detail(ev, meta, "claude-code", _HOT)[0].select("session_id", "started_at", "updated_at", "requests", "total", "children")
+
+
+@query(_with(f"select harness, instance_id, session_id, max(ts) as newest, {_MEASURES} from facts where ts > timestamp '2026-08-29 22:00:00' and ts <= timestamp '{NOW}' group by 1, 2, 3 order by newest desc, harness, session_id limit 1"))
+def statusline(spark, sf):
+    ev = facts(spark, sf).where(f"ts > timestamp '2026-08-29 22:00:00' and ts <= timestamp '{NOW}'")
+    return ev.groupBy(*SESSION_KEY).agg(F.max("ts").alias("newest"), *A.measures()).orderBy(F.desc("newest"), "harness", "session_id").limit(1)
+
+
 @query(_with("select harness, instance_id, session_id, title from meta where lower(title || ' ' || project || ' ' || harness || ' ' || session_id) like '%fix%' and lower(title || ' ' || project || ' ' || harness || ' ' || session_id) like '%reader%'", meta=True))
 def session_search(spark, sf):
     return search(sessions(spark, sf), "Fix READER", ("title", "project", "harness", "session_id")).select(*SESSION_KEY, "title")
