@@ -60,6 +60,7 @@ _HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
 _ITEM = re.compile(r"\s*(?:([-*+•])|(\d{1,9})[.)])\s+(?=\S)")
 _CLUSTER = re.compile(rf"[{re.escape(_MARKS)}]+")
 _MARKUP = re.compile(r"(?:[*_`~']+|</?[A-Za-z][^<>]*>)+(?=\w)")
+_INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_/=&%@-")
 _THAI = "฀-๿຀-໿က-႟ក-៿"  # scripts that end sentences with a blank
 _BLANK_END = re.compile(rf"(?<=[{_THAI}])\s+(?=[{_THAI}])")
 _UNMARKED = re.compile(rf"[{_THAI}]")
@@ -216,7 +217,9 @@ def _before_class(word: str, run: str, s: str, at: int, nxt: str) -> tuple[str,
         return ("ordinal" if len(w) < 3 and nxt.lower() in _MONTHS else "number"), w
     if len(w) == 1 and word[-1:].isupper():
         return "initial", w
-    if re.search(r"[/@=]|://", w):
+    if "://" in w:
+        return "url", w
+    if re.search(r"[/@=]", w):
         return "path", w
     last = w[-1]
     return ("caseless" if last.isalpha() and last.lower() == last.upper() else "word"), w
@@ -272,6 +275,8 @@ def candidates(u: Unit, starters: frozenset) -> list[Candidate]:
     out: list[Candidate] = []
     for m in _CLUSTER.finditer(s):
         i, run = m.end(), m.group()
+        if i < len(s) and s[i] in _INNER and run.isascii():
+            continue  # inside a number, name or address: such a mark has the single state I
         closed: list[tuple[int, int]] = []
         while i < len(s):
             k = i
@@ -335,7 +340,7 @@ def rule(c: Candidate) -> bool:
     if c.mark in ("ellipsis", "dots"):
         return c.gap == "space" and strong
     if c.gap == "glue":
-        return c.after == "capital" and c.before in ("-", "word") or (c.mark == "bang" and c.after in ("cjk", "caseless"))
+        return c.after == "capital" and c.before in ("-", "word", "path", "number") or (c.mark == "bang" and c.after in ("cjk", "caseless"))
     if c.mark == "bang":
         return c.after != "dash"
     if c.before in ("never", "before number", "ordinal", "initial", "none"):
@@ -370,17 +375,21 @@ class Model:
     weights: dict
     pairs: dict
     starters: frozenset
+    fitted: bool = True
+    known: dict = field(default_factory=dict)  # emission of every combination met so far, once the weights are fixed
 
     def decode(self, cands: list[Candidate]) -> list[bool]:
         """Viterbi over the candidates of a unit."""
         if not cands:
             return []
-        w, pairs = self.weights, self.pairs
+        w, pairs, known = self.weights, self.pairs, self.known if self.fitted else {}
         best = {False: 0.0, True: pairs.get((None, True), 0.0)}
         ways = []
         prev = None
         for c in cands:
-            emit = sum(w.get(f, 0.0) for f in _features(c))
+            emit = known.get(joint := c.joint())
+            if emit is None:
+                emit = known[joint] = sum(w.get(f, 0.0) for f in _features(c))
             if prev is None:
                 score, back = {False: 0.0, True: best[True] + emit}, {False: None, True: None}
             else:
@@ -411,7 +420,7 @@ def train(texts: list[str], epochs: int = EPOCHS) -> Model:
                     cands = [c for c in candidates(one, starters) if c.gap != "end"]
                     if cands:
                         seqs.append((cands, [rule(c) for c in cands]))
-    model = Model(defaultdict(float), defaultdict(float), starters)
+    model = Model(defaultdict(float), defaultdict(float), starters, fitted=False)
     total_w, total_p, step = defaultdict(float), defaultdict(float), 1
     for _ in range(epochs):
         wrong = 0
