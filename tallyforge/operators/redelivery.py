@@ -58,18 +58,16 @@ def request_survivors(df: DataFrame, order: str = "delivery_id") -> DataFrame:
 def _survivors(slim: DataFrame) -> DataFrame:
     named = slim.select("scope", _pid().alias("pid"), "ord").where("pid is not null")
     counted = named.groupBy("scope", "pid").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies"))
-    labels = cut(_chained(slim))
-    tagged = (
-        counted.withColumn("node", F.concat_ws(_SEP, "scope", "pid"))
-        .join(labels, "node", "left").select("ord", "copies", "component")
-    )
-    once = tagged.where("component is null and copies = 1").select("ord", "copies")
-    repeated = tagged.where("component is null and copies > 1").select("ord", "copies")
+    part = F.split("node", _SEP, 3)
+    labels = cut(_chained(slim).select(F.concat_ws(_SEP, part[0], part[1]).alias("scope"), part[2].alias("pid"), "component"))
+    tagged = counted.join(labels, ["scope", "pid"], "left")  # on the keys that the counts are partitioned by
+    # identifiers seen once pass, the first delivery of repeated ones has rank 1
+    apart = tagged.where("component is null").select("ord", "copies")
     chained = (
         tagged.where("component is not null").groupBy("component")
         .agg(F.min("ord").alias("ord"), F.sum("copies").alias("copies")).select("ord", "copies")
     )
-    return once.unionByName(repeated).unionByName(chained)
+    return apart.unionByName(chained)
 
 
 def dropped_deliveries(df: DataFrame, order: str = "delivery_id") -> DataFrame:

@@ -52,10 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: characters that are white space, made from their Unicode property
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def blank_to_null(c: Column | str) -> Column:
     """Text without surrounding white space (any Unicode blank); empty text becomes null."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.regexp_replace(c.cast("string"), r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c.cast("string"), F.lit(BLANKS)), F.lit(""))
 
 
 def instance_or_default(c: Column | str = "instance_id") -> Column:
