@@ -44,7 +44,7 @@ def _chained(slim: DataFrame) -> DataFrame:
         .select(F.concat_ws(_SEP, "scope", F.concat(F.lit("k"), "dk")).alias("src"),
                 F.concat_ws(_SEP, "scope", F.concat(F.lit("r"), "rid")).alias("dst")).distinct()
     )
-    return connected_components(ties)
+    return connected_components(cut(ties))  # every round reads the ties, the rows are read for them once
 
 
 def request_survivors(df: DataFrame, order: str = "delivery_id") -> DataFrame:
