@@ -60,7 +60,7 @@ _HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
 _ITEM = re.compile(r"\s*(?:([-*+•])|(\d{1,9})[.)])\s+(?=\S)")
 _CLUSTER = re.compile(rf"[{re.escape(_MARKS)}]+")
 _MARKUP = re.compile(r"(?:[*_`~']+|</?[A-Za-z][^<>]*>)+(?=\w)")
-_INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_/=&%@-")
+_INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_/=%@-")
 _THAI = "฀-๿຀-໿က-႟ក-៿"  # scripts that end sentences with a blank
 _BLANK_END = re.compile(rf"(?<=[{_THAI}])\s+(?=[{_THAI}])")
 _UNMARKED = re.compile(rf"[{_THAI}]")
@@ -228,8 +228,8 @@ def _before_class(word: str, run: str, s: str, at: int, nxt: str) -> tuple[str,
 def _after_class(s: str, i: int, starters: frozenset) -> tuple[str, str, str]:
     """(gap, class of what follows position ``i``, the next word)."""
     j = i
-    while j < len(s) and s[j].isspace():
-        j += 1
+    while j < len(s) and (s[j].isspace() or s.startswith("&nbsp;", j)):
+        j += 1 if s[j] != "&" else 6
     if j == len(s):
         return "end", "none", ""
     gap = "space" if j > i else "glue"
@@ -313,6 +313,7 @@ def candidates(u: Unit, starters: frozenset) -> list[Candidate]:
     return out
 
 
+_ORDINARY = ("word", "number", "path", "url", "caseless", "-")  # classes of words that are no abbreviation
 _STRONG = ("upper", "capital", "starter", "open", "inverted", "digit")
 
 
@@ -365,7 +366,8 @@ def opening_words(texts: Iterable[str]) -> frozenset:
 
 
 def _features(c: Candidate) -> tuple:
-    return (("j", *c.joint()), ("m", c.mark, c.gap, c.after), ("b", c.mark, c.before, c.after), ("q", c.quote, c.after, c.mark), ("k", c.mark, c.quote), ("w", c.before), ("s", c.mark, c.gap, c.after in _STRONG, c.quote))
+    return (("j", *c.joint()), ("m", c.mark, c.gap, c.after), ("b", c.mark, c.before, c.after), ("q", c.quote, c.after, c.mark), ("k", c.mark, c.quote), ("w", c.before), ("s", c.mark, c.gap, c.after in _STRONG, c.quote),
+            ("o", c.mark, c.before in _ORDINARY, c.gap, c.after, c.quote))
 
 
 @dataclass

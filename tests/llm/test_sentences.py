@@ -21,7 +21,7 @@ CASES = [
     "เมื่อเวลา 06:08 ระบบหยุดทำงาน| ทำไมรุ่น opal-mini ไม่มีราคา| แคชยังเก่าอยู่|",
     "# 1. Overview. Really|\n\n1. First item.|\n\n2. Second item, no mark|\n\n- a line\nbroken in two.|\n\n```\ncode. Is? one!\n\nunit.\n```|\n\nDone.|",
     "> quoted text\n> goes on. | > Then ends|".replace(" | > ", "| "),
-    "It was stored earlier.| `After` midnight it stopped.| <b>Which</b> one?| _Tras_ reiniciar.|", "no mark at all|", "Open https://x.test/v1.2/i.html?q=a.b now.|", "credit balance.|Open it.|",
+    "It was stored earlier.| `After` midnight it stopped.| <b>Which</b> one?| _Tras_ reiniciar.|", "no mark at all|", "Open https://x.test/v1.2/i.html?q=a.b now.|", "credit balance.|Open it.|", "Only one of them.|&nbsp;Suppose it is vendor/basalt-70b.| 4506 jetons restent.| See No. 5.|",
 ]
 
 
