@@ -110,7 +110,8 @@ def plan(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     budget`` (of the mix), ``wanted`` (share of the source before redistribution), ``available`` (tokens of the source),
     ``short`` (all its documents used ``max_repeats`` times give less than wanted), ``tokens, max_repeats, leaf_budget``.
     Languages within a source weigh as much as their tokens. A source without documents has one leaf of zero
-    tokens. Null weights and repeats count as zero; a mix whose weights sum to zero wants nothing.
+    tokens, so has a null or blank label. Null weights and repeats count as zero; a mix whose weights sum to zero wants
+    nothing; a label that a mix repeats exactly counts once.
     """
     t = targets.select("mix_id", "source_label", source_key("source_label").alias("source_key"), F.coalesce("weight", F.lit(0.0)).alias("weight"),
                        F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.coalesce("budget_ratio", F.lit(0.0)).alias("budget_ratio"))
@@ -119,19 +120,20 @@ def plan(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["source_label", "lang"], na_position="first").reset_index(drop=True)
         pdf["tokens"] = pdf["tokens"].fillna(0)
-        rows = pdf.drop_duplicates(["source_label"])
+        pdf["_leaf"] = pdf["source_label"].fillna("\0")
+        rows = pdf.drop_duplicates(["_leaf"])
         weights = rows["weight"].sum()
         budget = float(pdf["budget_ratio"].max()) * float(pdf["all_tokens"].fillna(0).max())
         pdf["weight_share"] = pdf["weight"] / weights if weights > 0 else 0.0
         pdf["budget"] = budget
         pdf["wanted"] = pdf["weight_share"] * budget
-        pdf["available"] = pdf.groupby("source_label")["tokens"].transform("sum")
+        pdf["available"] = pdf.groupby("_leaf")["tokens"].transform("sum")
         pdf["short"] = pdf["available"] * pdf["max_repeats"] < pdf["wanted"]
         pdf["capacity"] = pdf["tokens"] * pdf["max_repeats"]
         pdf["lang"] = pdf["lang"].fillna("")
-        pdf["weight_source_label"] = pdf["weight"]
+        pdf["weight__leaf"] = pdf["weight"]
         pdf["weight_lang"] = pdf["tokens"]
-        pdf["leaf_budget"] = solve_tree(budget, pdf, ("source_label", "lang")).reindex(pdf.index).fillna(0.0)
+        pdf["leaf_budget"] = solve_tree(budget, pdf, ("_leaf", "lang")).reindex(pdf.index).fillna(0.0)
         return pdf[["mix_id", "source_label", "source_key", "lang", "weight_share", "budget", "wanted", "available", "short", "tokens", "max_repeats", "leaf_budget"]]
 
     return joined.groupBy("mix_id").applyInPandas(

@@ -29,6 +29,13 @@ def test_shortage_goes_to_siblings_and_repeats_are_capped(spark):
     assert again == sorted(map(tuple, s.collect()))
 
 
+def test_null_and_repeated_labels(spark):
+    docs = [(1, "a", "en", 10), (2, None, None, 5)]
+    p, s, r = run(spark, docs, [(1, None, 1.0, 3, 1.0), (1, "a", 1.0, 1, 1.0), (1, "a", 1.0, 1, 1.0), (None, "a", 1.0, 1, 1.0)])
+    got = {(x.mix_id, x.source_label): x.short for x in p.collect()}
+    assert got[1, None] and not got[1, "a"] and p.where("mix_id = 1 and source_label = 'a'").first().weight_share == 0.5
+
+
 def test_prefix_is_exact(spark):
     docs = [(i, "a", "en", 1 + i % 7) for i in range(3000)]
     total = sum(d[3] for d in docs)
