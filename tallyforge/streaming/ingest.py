@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,21 +21,34 @@ class FactStore:
     """
 
     def __init__(self, spark: SparkSession, folder: str, sequence: str = "delivery_id", compact_every: int = 16) -> None:
-        self.spark, self.folder, self.sequence, self.compact_every = spark, folder, sequence, compact_every
-        os.makedirs(folder, exist_ok=True)
+        self.spark, self.folder, self.sequence, self.compact_every = spark, folder.rstrip("/"), sequence, compact_every
+        self._fs = spark._jvm.org.apache.hadoop.fs
+        self._conf = spark._jsc.hadoopConfiguration()
+
+    def _path(self, name: str):
+        return self._fs.Path(f"{self.folder}/{name}")
 
     def _pointer(self) -> dict:
-        path = os.path.join(self.folder, "CURRENT")
-        if not os.path.exists(path):
+        path = self._path("CURRENT")
+        fs = path.getFileSystem(self._conf)
+        if not fs.exists(path):
             return {"batch": -1, "parts": []}
-        with open(path) as f:
-            return json.load(f)
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def _publish(self, pointer: dict) -> None:
-        path = os.path.join(self.folder, "NEXT")
-        with open(path, "w") as f:
-            json.dump(pointer, f)
-        os.replace(path, os.path.join(self.folder, "CURRENT"))
+        """Writes the new pointer beside the current one and renames it over it, on whatever file system the folder is."""
+        new, now = self._path("NEXT"), self._path("CURRENT")
+        stream = new.getFileSystem(self._conf).create(new, True)
+        stream.write(bytearray(json.dumps(pointer).encode()))
+        stream.close()
+        over = self.spark._jvm.java.lang.reflect.Array.newInstance(self._fs.Options.Rename.OVERWRITE.getClass(), 1)
+        self.spark._jvm.java.lang.reflect.Array.set(over, 0, self._fs.Options.Rename.OVERWRITE)
+        context = self._fs.FileContext.getFileContext(new.getFileSystem(self._conf).getUri(), self._conf)
+        context.rename(self._fs.Path(f"{self.folder}/NEXT"), now, over)
 
     def _rows(self) -> DataFrame | None:
         parts = self._pointer()["parts"]
@@ -55,7 +67,7 @@ class FactStore:
         fine = batch.where(VALID)
         stored = self._rows()
         new = (first_inserts(fine, stored) if stored is not None else fine.dropDuplicates(list(KEY))).count()
-        path = os.path.join(self.folder, f"batch-{batch_id:012d}")
+        path = f"{self.folder}/batch-{batch_id:012d}"
         fine.write.mode("overwrite").parquet(path)
         self._publish({"batch": batch_id, "parts": [*at["parts"], path]})
         if len(at["parts"]) >= self.compact_every:
@@ -66,7 +78,7 @@ class FactStore:
         """Writes the merge of all parts as the new base."""
         at, rows = self._pointer(), self.current()
         if rows is not None:
-            path = os.path.join(self.folder, f"base-{at['batch']:012d}")
+            path = f"{self.folder}/base-{at['batch']:012d}"
             rows.write.mode("overwrite").parquet(path)
             self._publish({"batch": at["batch"], "parts": [path]})
 
