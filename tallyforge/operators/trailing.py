@@ -42,6 +42,8 @@ def trailing_intervals(rows: DataFrame, entity: Sequence[str], day: str, amount:
     daily = (
         base.where(F.col("_d") <= end).groupBy(*entity, "_d").agg(F.coalesce(F.sum("_a"), F.lit(0)).cast(_SUM).alias("_a"))
     )
+    # at most one row per calendar day of an entity: from here on an entity fits a task, and nothing is shuffled again
+    daily = daily.repartition(*entity)
     zero = F.lit(0).cast(_SUM)
     parts = [F.struct(F.lit(0).alias("lag"), *[F.lit(1).alias(f"s{n}") for n in windows])]
     parts += [F.struct(F.lit(n).alias("lag"), *[F.lit(-1 if n == m else 0).alias(f"s{m}") for m in windows]) for n in windows]
