@@ -21,6 +21,17 @@ def test_trailing_rate_against_brute_force(spark):
         assert abs(got[i] - want) < 1e-6
 
 
+def test_registered_trailing_rate_covers_all_deliveries(spark):
+    from tallyforge.plans.registry import queries
+
+    rows = deliveries(spark, SF).where("received_at is not null").select("delivery_id", "received_at", "output").collect()
+    got = {r.delivery_id: r.rate for r in queries()["trailing_rate_all"](spark, SF).collect()}
+    assert set(got) == {r.delivery_id for r in rows} and min(r.received_at for r in rows) < datetime(2026, 8, 24)
+    for r in rows[::40]:
+        want = sum(x.output for x in rows if r.received_at - timedelta(seconds=60) < x.received_at <= r.received_at) / 60
+        assert abs(got[r.delivery_id] - want) < 1e-5
+
+
 def test_tracker_model():
     """Random steps against a window recomputed from scratch."""
     rng = random.Random(9)
