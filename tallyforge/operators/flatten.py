@@ -38,6 +38,25 @@ class Tables:
     m_name: pa.Array
     m_kind: np.ndarray  # per scalar member: s, n, b or z (string, number, boolean, null)
     m_text: pa.Array
+    place: pa.Array  # per object: its positions in the arrays between it and its member, outermost first; null if none
+    e_record: np.ndarray  # per scalar element of an array: row of the batch
+    e_object: np.ndarray  # nearest object around it, -1 if none
+    e_name: pa.Array  # member that the outermost array around it, below that object, is the value of
+    e_place: pa.Array
+    e_kind: np.ndarray
+    e_text: pa.Array
+
+
+def _places(bracket: np.ndarray, at: np.ndarray, o_parent: np.ndarray, o_at: np.ndarray) -> pa.Array:
+    """Positions through nested arrays: ``at`` within ``bracket``, then that bracket's own position, and so on."""
+    layers = [at]
+    while (layers[-1] >= 0).any():
+        on = layers[-1] >= 0
+        layers.append(np.where(on & (bracket >= 0), o_at[np.maximum(bracket, 0)], -1))
+        bracket = np.where(bracket >= 0, o_parent[np.maximum(bracket, 0)], -1)
+    grid = np.stack(layers[::-1], axis=1)
+    off = np.concatenate([[0], (grid >= 0).sum(axis=1).cumsum()]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(grid[grid >= 0].astype(np.int32)), mask=pa.array(at < 0))
 
 
 def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -178,30 +197,56 @@ def _shred(data: np.ndarray, bounds: np.ndarray, record: np.ndarray, above: np.n
         names = pc.replace_with_mask(names, pa.array(mask), pa.array([under[o_doc[objs][h]] for h in hang], pa.large_string()))
         direct[hang] = True
 
-    sc = np.flatnonzero(live & ~n_open & (number[c_in] >= 0)) if len(k) else np.zeros(0, int)
-    v = np.searchsorted(s0, c_pos[sc], "right") if len(s0) else np.zeros(0, int)
-    v_ok = np.minimum(v, max(len(s0) - 1, 0))
-    is_str = (v < len(s0)) & (s0[v_ok] < n_pos[sc]) if len(sc) else np.zeros(0, bool)
-    start = np.where(is_str, s0[v_ok] + 1, c_pos[sc] + 1) if len(sc) else np.zeros(0, np.int64)
-    end = np.where(is_str, s1[v_ok], n_pos[sc]) if len(sc) else np.zeros(0, np.int64)
-    text = _texts(data, start, end)
-    if len(sc):
-        text = _unescaped(text, is_str & has_back(start, end))
+    def scalars(after: np.ndarray, until: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(text, kind, is a string) of the scalars between pairs of marks."""
+        if not len(after):
+            return pa.array([], pa.large_string()), np.zeros(0, "U1"), np.zeros(0, bool)
+        v = np.searchsorted(s0, after, "right") if len(s0) else np.zeros(len(after), int)
+        v_ok = np.minimum(v, max(len(s0) - 1, 0))
+        is_str = (v < len(s0)) & (s0[v_ok] < until) if len(s0) else np.zeros(len(after), bool)
+        start = np.where(is_str, s0[v_ok] + 1, after + 1) if len(s0) else after + 1
+        end = np.where(is_str, s1[v_ok], until) if len(s0) else until
+        text = _unescaped(_texts(data, start, end), is_str & has_back(start, end))
         text = pc.if_else(pa.array(is_str), text, pc.utf8_trim_whitespace(text))
         lead = pc.utf8_slice_codeunits(text, 0, 1)
         digit = pc.match_substring_regex(text, r"^-?[0-9]").to_numpy(zero_copy_only=False)
         null = pc.equal(lead, "n").to_numpy(zero_copy_only=False)
-        kinds = np.where(is_str, "s", np.where(digit, "n", np.where(null, "z", "b")))
-    else:
-        kinds = np.zeros(0, "U1")
-    return Tables(record[o_doc[objs]], parent, direct, names, number[c_in[sc]] if len(sc) else np.zeros(0, int), name.take(pa.array(sc)), kinds, text)
+        return text, np.where(is_str, "s", np.where(digit, "n", np.where(null, "z", "b"))), is_str
+
+    sc = np.flatnonzero(live & ~n_open & (number[c_in] >= 0)) if len(k) else np.zeros(0, int)
+    text, kinds, _ = scalars(c_pos[sc], n_pos[sc])
+
+    # elements begin after the bracket of an array and after each comma right within it
+    comma = np.flatnonzero(kind == _COMMA)
+    begin = np.concatenate([at_open[~o_obj], comma])
+    inside = np.concatenate([np.flatnonzero(~o_obj), around(depth[comma], marks[comma])])
+    listed = (inside >= 0) & ~o_obj[np.maximum(inside, 0)] if len(o_obj) else np.zeros(0, bool)
+    begin, inside = begin[listed] if len(listed) else begin[:0], inside[listed] if len(listed) else inside[:0]
+    order = np.lexsort((begin, inside))
+    begin, inside = begin[order], inside[order]
+    place = np.arange(len(begin)) - np.searchsorted(inside, inside)
+    o_at = np.full(len(at_open), -1)
+    held = mark_to_open[begin + 1]
+    o_at[held[held >= 0]] = place[held >= 0]
+    el = np.flatnonzero((held < 0) & np.isin(kind[np.minimum(begin + 1, max(len(kind) - 1, 0))], (_COMMA, _CLOSE_A)) & alive[inside]) if len(begin) else np.zeros(0, int)
+    e_text, e_kinds, e_str = scalars(marks[begin[el]], marks[begin[el] + 1])
+    real = e_str | (pc.binary_length(e_text).to_numpy(zero_copy_only=False) > 0) if len(el) else np.zeros(0, bool)
+    el, e_text, e_kinds = el[real], e_text.filter(pa.array(real, pa.bool_())), e_kinds[real]
+    e_in = inside[el]
+    e_up, e_via = up[e_in], via[e_in]
+    e_name = name.take(pa.array(np.maximum(e_via, 0), mask=e_via < 0)) if len(name) else pa.nulls(len(el), pa.large_string())
+    return Tables(record[o_doc[objs]], parent, direct, names, number[c_in[sc]] if len(sc) else np.zeros(0, int), name.take(pa.array(sc)), kinds, text,
+                  _places(o_parent[objs], o_at[objs], o_parent, o_at), record[o_doc[e_in]], np.where(e_up >= 0, number[e_up], -1), e_name,
+                  _places(e_in, place[el], o_parent, o_at), e_kinds, e_text)
 
 
 def _join(parts: list[Tables]) -> Tables:
     cat = np.concatenate
     texts = lambda f: pa.chunked_array([getattr(t, f) for t in parts], pa.large_string()).combine_chunks()
+    places = lambda f: pa.chunked_array([getattr(t, f) for t in parts], pa.list_(pa.int32())).combine_chunks()
     return Tables(cat([t.record for t in parts]), cat([t.parent for t in parts]), cat([t.direct for t in parts]), texts("member"),
-                  cat([t.m_object for t in parts]), texts("m_name"), cat([t.m_kind for t in parts]), texts("m_text"))
+                  cat([t.m_object for t in parts]), texts("m_name"), cat([t.m_kind for t in parts]), texts("m_text"),
+                  places("place"), cat([t.e_record for t in parts]), cat([t.e_object for t in parts]), texts("e_name"), places("e_place"), cat([t.e_kind for t in parts]), texts("e_text"))
 
 
 def shred(bodies: pa.Array, embedded: Sequence[str] = ()) -> Tables:
@@ -272,10 +317,11 @@ USAGE = (("message", "usage", "cacheRead"), ("providerData", "rawUsage", "prompt
 
 
 def flat_objects(df: DataFrame, key: str = "record_id", body: str = "body", embedded: Sequence[str] = EMBEDDED) -> DataFrame:
-    """One row per JSON object: ``(key, node, parent_node, member, node_id, parent_node_id)``.
+    """One row per JSON object: ``(key, node, parent_node, member, node_id, parent_node_id, position)``.
 
     ``node`` numbers the objects within a run, ``member`` is the name it hangs on (through arrays), the ids are
     those of the object itself and of the nearest object around it that has one (string or number; null if none).
+    ``position`` holds the places, from 0, in the arrays between the object and its member (null if none).
     """
     kind = dict(df.dtypes)[key]
 
@@ -287,25 +333,32 @@ def flat_objects(df: DataFrame, key: str = "record_id", body: str = "body", embe
         np.minimum.at(start, t.record, every)
         return pa.RecordBatch.from_arrays(
             [keys.take(pa.array(t.record)), pa.array(every), pa.array(np.maximum(t.parent, 0), mask=t.parent < 0), t.member.cast(pa.string()),
-             _take(texts, own), _take(texts, np.where(around >= 0, own[np.maximum(around, 0)], -1))],
-            names=[key, "node", "parent_node", "member", "node_id", "parent_node_id"])
+             _take(texts, own), _take(texts, np.where(around >= 0, own[np.maximum(around, 0)], -1)), t.place],
+            names=[key, "node", "parent_node", "member", "node_id", "parent_node_id", "position"])
 
-    return _over_chunks(df, key, body, make, f"`{key}` {kind}, node bigint, parent_node bigint, member string, node_id string, parent_node_id string", embedded)
+    return _over_chunks(df, key, body, make, f"`{key}` {kind}, node bigint, parent_node bigint, member string, node_id string, parent_node_id string, position array<int>", embedded)
 
 
 def flat_members(df: DataFrame, key: str = "record_id", body: str = "body", embedded: Sequence[str] = EMBEDDED) -> DataFrame:
-    """One row per scalar member: ``(key, node, name, kind, value)``; ``node`` as in ``flat_objects``, kinds
-    ``string number boolean null``, ``value`` the decoded text (null for null)."""
+    """One row per scalar member and per scalar element of an array: ``(key, node, name, kind, value, position)``.
+
+    ``node`` is as in ``flat_objects``, kinds are ``string number boolean null``, ``value`` is the decoded text (null for
+    null). An element has the name of its array's member and ``position``, its places from 0 in the arrays it is in,
+    outermost first; members have none. Elements with no object around them have neither node nor name.
+    """
     kind = dict(df.dtypes)[key]
     words = {"s": "string", "n": "number", "b": "boolean", "z": "null"}
 
     def make(keys: pa.Array, t: Tables) -> pa.RecordBatch:
-        value = pc.if_else(pa.array(t.m_kind == "z", pa.bool_()), pa.scalar(None, pa.string()), t.m_text.cast(pa.string()))
+        both = lambda a, b: pa.chunked_array([a, b]).combine_chunks()
+        kinds, node = np.concatenate([t.m_kind, t.e_kind]), np.concatenate([t.m_object, t.e_object])
+        value = pc.if_else(pa.array(kinds == "z", pa.bool_()), pa.scalar(None, pa.string()), both(t.m_text, t.e_text).cast(pa.string()))
         return pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(t.record[t.m_object])), pa.array(t.m_object), t.m_name.cast(pa.string()), pa.array([words[k] for k in t.m_kind], pa.string()), value],
-            names=[key, "node", "name", "kind", "value"])
+            [keys.take(pa.array(np.concatenate([t.record[t.m_object], t.e_record]))), pa.array(node, mask=node < 0), both(t.m_name, t.e_name).cast(pa.string()),
+             pa.array([words[k] for k in kinds], pa.string()), value, both(pa.nulls(len(t.m_kind), t.e_place.type), t.e_place)],
+            names=[key, "node", "name", "kind", "value", "position"])
 
-    return _over_chunks(df, key, body, make, f"`{key}` {kind}, node bigint, name string, kind string, value string", embedded)
+    return _over_chunks(df, key, body, make, f"`{key}` {kind}, node bigint, name string, kind string, value string, position array<int>", embedded)
 
 
 def usage_nodes(df: DataFrame, key: str = "record_id", body: str = "body") -> DataFrame:

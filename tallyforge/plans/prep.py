@@ -97,7 +97,7 @@ def p5_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_members(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat table of all scalar members, counted by name and kind."""
+    """Flat table of all scalar members and elements of arrays, counted by name and kind."""
     return flatten.flat_members(table(spark, sf, "session_files")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("members"))
 
 

@@ -98,3 +98,31 @@ def test_flat_tables_join(spark):
     assert [(r.member, r.node_id, r.parent_node_id) for r in objects.orderBy("node").collect()] == [(None, "r", None), ("items", "1", "r"), ("items", None, "r")]
     joined = members.join(objects, ["record_id", "node"]).select("member", "name", "kind", "value")
     assert {tuple(r) for r in joined.collect()} == {(None, "id", "string", "r"), (None, "n", "number", "1.5"), ("items", "id", "number", "1"), ("items", "v", "null", None), ("items", "w", "boolean", "true"), ("items", "x", "string", "a\\b")}
+
+
+def scalars(o, name=None, place=None, held=False):
+    """Counter keys (name, kind, value, place) of all scalar members and elements."""
+    if isinstance(o, dict):
+        o = {k: unwrap(v) if k in ("message", "providerData") else v for k, v in o.items()}
+        for k, v in o.items():
+            yield from scalars(v, k, None, True)
+    elif isinstance(o, list):
+        for i, v in enumerate(o):
+            yield from scalars(v, name, (*(place or ()), i), True)
+    elif held:
+        kind = "null" if o is None else "boolean" if isinstance(o, bool) else "string" if isinstance(o, str) else "number"
+        yield name, kind, None if o is None else o if kind == "string" else json.dumps(o), place
+
+
+def test_elements_of_arrays(spark):
+    rng = random.Random(12)
+    docs = [made(rng) for _ in range(300)] + [{"flags": ["a", "b,]", 3, True, None, "", {"x": [1]}, [[2, []], ["q"]], []], "n": [ ]}, [1, ["two"], {"k": [None]}], 5, []]
+    rows = [(i, json.dumps(d, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))) for i, d in enumerate(docs)]
+    rows += [(1000, '{"a": [1, 2], "a": [3]}'), (1001, "[1, 2")]
+    got = [(r.record_id, r.name, r.kind, r.value, r.position and tuple(r.position)) for r in flat_members(spark.createDataFrame(rows, SCHEMA)).collect()]
+    # an embedded object is read as an object; its text stays a member, too
+    got = [g for g in got if not (g[1] in ("message", "providerData") and g[2] == "string" and g[4] is None and isinstance(unwrap(g[3]), dict))]
+    want = [(i, *x) for i, d in enumerate(docs) for x in scalars(d)] + [(1000, "a", "number", "3", (0,))]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    places = {(r.node_id, r.position and tuple(r.position)) for r in flat_objects(spark.createDataFrame([(1, '{"id": 0, "a": [7, {"id": 1}, [{"id": 2}]]}')], SCHEMA)).collect()}
+    assert places == {("0", None), ("1", (1,)), ("2", (2, 0))}
