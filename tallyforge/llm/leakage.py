@@ -6,6 +6,10 @@ fingerprints within the radius agree in at least one block, so looking up all bl
 window within the radius. Exact weighted-shingle similarity then verifies the candidates, and equality
 word by word tells exact passages from near ones.
 
+Fingerprints of short windows miss most near passages, so near ones are also searched by the shingles themselves:
+a passage similar enough shares a known number of shingles with the window of the item, which an inverted
+index of the items' shingles counts. This path misses none, in windows of a passage and of a whole item.
+
 Documents are scanned once, in Arrow batches, without any shuffle; the items are a stated query set
 that is broadcast in blocks of a bounded number of windows.
 """
@@ -137,6 +141,27 @@ def _windows(texts: list, by_char: bool, n: int) -> tuple[np.ndarray, np.ndarray
     return _fingerprints(vectors, code, n)[inside], _ordered(h, n)[inside], doc[: len(inside)][inside], (np.arange(len(inside)) - bounds[doc[: len(inside)]])[inside]
 
 
+def _grams(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of every shingle that lies within one text."""
+    if len(h) < SHINGLE:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.flatnonzero(doc[: len(h) - SHINGLE + 1] == doc[SHINGLE - 1:])
+    return _ordered(h, SHINGLE)[at], at
+
+
+def _shared(least: float) -> float:
+    """Share of an item window's shingles that a window as similar as ``least`` has, too."""
+    return 1 / (1 + MAX_WEIGHT * (1 / max(least, 1e-9) - 1))
+
+
+def _spread(keys: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every key with each of ``start, start + 1, ...``, ``count`` of them."""
+    count = np.maximum(count, 0)
+    ends = np.cumsum(count)
+    return np.repeat(keys, count), np.repeat(start - np.concatenate([[0], ends[:-1]])[: len(start)], count) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
     """Windows of one block of items, with a table of starts per block of fingerprint bits."""
@@ -152,6 +177,10 @@ class Index:
     texts: list
     cjk_only: bool
     tables: list
+    grams: np.ndarray  # sorted hashes of the items' shingles
+    gram_at: np.ndarray  # position of each, in the items laid end to end
+    bounds: np.ndarray  # of the items in it
+    free: float  # greatest share of shingles without CJK in any window
 
     @staticmethod
     def build(ids: list, texts: list, by_char: bool, n: int, radius: int) -> Index:
@@ -163,7 +192,52 @@ class Index:
             tables.append((shift, bits, order, np.searchsorted(key[order], np.arange((1 << bits) + 1))))
         runs = ["".join(words(t)) for t in texts]
         cjk = by_char and all(_CJK.search(runs[i], p, p + n) for i, p in zip(item.tolist(), at.tolist()))
-        return Index(by_char, n, radius, prints, exact, item, at, ids, texts, cjk, tables)
+        _, h, _, bounds = _tokens(texts, by_char)
+        grams, gram_at = _grams(h, bounds)
+        order = np.argsort(grams, kind="stable")
+        free = 0.0 if cjk else 1.0
+        for run in runs if cjk else ():
+            bare = np.cumsum([0, *(not _CJK.search(run, p, p + SHINGLE) for p in range(len(run) - SHINGLE + 1))])
+            for m in {n - SHINGLE + 1, len(run) - SHINGLE + 1} if len(run) >= n else ():
+                free = max(free, float((bare[m:] - bare[:-m]).max()) / m)
+        return Index(by_char, n, radius, prints, exact, item, at, ids, texts, cjk, tables, grams[order], gram_at[order], bounds, free)
+
+    def near(self, h: np.ndarray, bounds: np.ndarray, whole: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of windows that may be as similar as ``least``: (document, position, item, position, length).
+
+        Windows are of ``n`` tokens, or with ``whole`` of all tokens of a longer item; a window of a document that
+        is shorter ends with it. A weight is at most ``MAX_WEIGHT`` times another, so of ``m`` shingles of an item's window
+        at least ``m * _shared(least)`` are shared.
+        """
+        none = (np.zeros(0, np.int64),) * 5
+        grams, gram_at = _grams(h, bounds)
+        first, last = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, "right")
+        p, q = _spread(gram_at, first, last - first)
+        q = self.gram_at[q] if len(q) else q
+        doc, item = np.searchsorted(bounds, p, "right") - 1, np.searchsorted(self.bounds, q, "right") - 1
+        size = np.diff(self.bounds)[item] if len(item) else item
+        length = size if whole else np.full(len(item), self.n)
+        ok = size >= self.n
+        need = np.ceil((length - SHINGLE + 1) * _shared(least) - 1e-9)
+        # a pair of texts with too few hits in all has no window with enough
+        _, at, hits = np.unique(doc * len(self.ids) + item, return_inverse=True, return_counts=True)
+        ok &= hits[at] >= need
+        p, q, doc, item, length, need = (x[ok] for x in (p, q, doc, item, length, need))
+        if not len(p):
+            return none
+        m = length - SHINGLE + 1
+        a0, a1 = np.maximum(bounds[doc], p - m + 1), np.maximum(bounds[doc], np.minimum(p, bounds[doc + 1] - length))
+        if whole:  # parts of windows at the end of a document count, too
+            a1 = p
+        i, a = _spread(np.arange(len(p)), a0, a1 - a0 + 1)
+        b0 = np.maximum(self.bounds[item], q - m + 1)
+        b1 = self.bounds[item] if whole else np.minimum(q, self.bounds[item + 1] - length)
+        j, b = _spread(np.arange(len(i)), (self.bounds[item] if whole else b0)[i], (b1 - (self.bounds[item] if whole else b0) + 1)[i])
+        i, a = i[j], a[j]
+        pair, one, hits = np.unique(a * (int(self.bounds[-1]) + 1) + b, return_index=True, return_counts=True)
+        one = one[hits >= need[i[one]]]
+        i, a, b = i[one], a[one], b[one]
+        return doc[i], a - bounds[doc[i]], item[i], b - self.bounds[item[i]], length[i]
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (document window, item window) within the radius, without repeats."""
@@ -206,10 +280,11 @@ def similarity(a: list, b: list, size: int = SHINGLE) -> float:
     return sum(min(x[k], y[k]) for k in x & y) / over if over else 0.0
 
 
-def _scan(keys: list, texts: list, index: Index, min_similarity: float) -> Iterator[tuple]:
+def _scan(keys: list, texts: list, index: Index, min_similarity: float, near: bool = True) -> Iterator[tuple]:
     """(key, item id, exact windows, best similarity) of the documents of one batch."""
     clean = [plain(t) if t else "" for t in texts]
-    rows = [i for i, t in enumerate(clean) if t and (not index.cjk_only or _CJK.search(t))]
+    skip = index.cjk_only and not (near and index.free >= _shared(min_similarity))
+    rows = [i for i, t in enumerate(clean) if t and (not skip or _CJK.search(t))]
     clean = [clean[i] for i in rows]
     prints, exact, doc, at = _windows(clean, index.by_char, index.n)
     d, w = index.candidates(prints)
@@ -235,18 +310,28 @@ def _scan(keys: list, texts: list, index: Index, min_similarity: float) -> Itera
             have = found.setdefault(pair, [0, 0.0])
             have[0] += x == y
             have[1] = max(have[1], score)
+    if near:
+        _, h, _, bounds = _tokens(clean, index.by_char)
+        for whole in (False, True):
+            for i, a, j, b, size in zip(*(x.tolist() for x in index.near(h, bounds, whole, min_similarity))):
+                have = found.get((i, j))
+                if have and have[1] == 1.0:
+                    continue
+                score = similarity(tokens(False, i)[a:a + size], tokens(True, j)[b:b + size])
+                if score >= min_similarity:
+                    found[i, j] = [have[0] if have else 0, max(have[1] if have else 0.0, score)]
     for (i, j), (n, score) in sorted(found.items()):
         yield keys[rows[i]], index.ids[j], n, score
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", lang: str = "lang",
-          n_words: int = WORDS, n_chars: int = CHARS, radius: int = RADIUS, min_similarity: float = SIMILARITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+          n_words: int = WORDS, n_chars: int = CHARS, radius: int = RADIUS, min_similarity: float = SIMILARITY, block_windows: int = BLOCK_WINDOWS, near: bool = True) -> DataFrame:
     """Documents that hold passages of items: ``(key, item, windows, similarity)``, one row per pair.
 
     A passage is ``n_words`` consecutive words of the item or, for zh and ja items, ``n_chars`` consecutive letters
     and digits. ``windows`` counts the pairs of equal windows, ``similarity`` is the best weighted-shingle
-    similarity (1 if a window is equal): pairs with no equal window are near passages within ``radius`` bits that
-    reach ``min_similarity``. Null or empty texts and items shorter than a passage match nothing; repeated
+    similarity (1 if a window is equal): pairs with no equal window are near passages, windows of a passage or of the
+    whole item that reach ``min_similarity`` (``near=False`` leaves out those not within ``radius`` bits). Null or empty texts and items shorter than a passage match nothing; repeated
     rows give one row per pair.
     """
     item_type, key_type = dict(items.dtypes)[item], dict(documents.dtypes)[key]
@@ -270,7 +355,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item: str
                 for a in range(0, batch.num_rows, 1_000):
                     part = batch.slice(a, 1_000)
                     keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    rows = [r for index in shared.value for r in _scan(keys, texts, index, min_similarity)]
+                    rows = [r for index in shared.value for r in _scan(keys, texts, index, min_similarity, near)]
                     k, i, n, s = zip(*rows) if rows else ((), (), (), ())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(k, part.schema.field(0).type), pa.array(i, _arrow_type(item_type)), pa.array(n, pa.int64()), pa.array(s, pa.float64())],

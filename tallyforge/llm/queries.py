@@ -9,13 +9,13 @@ from tallyforge.llm import leakage, mixing, sentences
 from tallyforge.runtime import cut, table
 
 
-def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+def _leaks(spark: SparkSession, sf: str, near: bool = True) -> DataFrame:
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), near=near)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with exact passages of evaluation items."""
-    return _leaks(spark, sf).where("windows > 0").select("doc_id", "item_id")
+    return _leaks(spark, sf, near=False).where("windows > 0").select("doc_id", "item_id")
 
 
 def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:

@@ -63,3 +63,30 @@ def test_near_passages_are_told_from_exact(spark):
     out = L.leaks(*frames(spark, [near, long], [("en", long)]), n_words=30, radius=20).collect()
     got = {r.doc_id: (r.windows, r.similarity) for r in out}
     assert got[1] == (1, 1.0) and (0 not in got or got[0][0] == 0)
+
+
+def test_near_passages_equal_brute_force(spark):
+    rng = random.Random(6)
+    light, heavy = [f"w{'abcdefghij'[i]}" for i in range(10)], [f"longword{i}" for i in range(60)]
+    items = [" ".join(rng.sample(light, 3) + rng.sample(heavy, k - 3)) for k in (12, 12, 12, 13, 20)]
+    docs = []
+    for item in items:
+        for edit in ([], ["x"], ["x", "y"], None):
+            ws = item.split()[:12]
+            k = rng.randrange(12) if edit is None else 0
+            ws[k:k + 1] = ["other"] if edit is None else edit
+            docs += [" ".join(ws), " ".join(rng.choices(light, k=4) + ws + rng.choices(light, k=3))]
+
+    def best(doc, item):
+        d, t = doc.split(), item.split()
+        if not {tuple(d[k:k + 5]) for k in range(len(d))} & {tuple(t[k:k + 5]) for k in range(len(t) - 4)}:
+            return 0.0
+        spans = [(d[a:a + 12], t[b:b + 12]) for a in range(max(len(d) - 11, 1)) for b in range(len(t) - 11)]
+        return max([L.similarity(x, y) for x, y in spans + [(d[a:a + len(t)], t) for a in range(len(d))]], default=0.0)
+
+    out = L.leaks(*frames(spark, docs, [("en", i) for i in items])).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in out}
+    want = {(i, j): s for i, d in enumerate(docs) for j, t in enumerate(items) if (s := best(d, t)) >= L.SIMILARITY}
+    assert got == want and sum(r.windows == 0 for r in out) >= 5
+    found = L.leaks(*frames(spark, docs, [("en", i) for i in items]), near=False).where("windows = 0").count()
+    assert found < sum(r.windows == 0 for r in out)
