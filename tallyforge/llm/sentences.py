@@ -351,9 +351,7 @@ def rule(c: Candidate) -> bool:
     return c.after not in ("dash", "other") or c.before == "caseless"
 
 
-def opening_words(texts: Iterable[str]) -> frozenset:
-    """Lower-case words that open units again and again, by their share of openings among all their uses."""
-    first, all_ = Counter(), Counter()
+def _count_openings(texts: Iterable[str], first: Counter, all_: Counter) -> None:
     for t in texts:
         for u in units(t):
             if u.whole:
@@ -362,7 +360,38 @@ def opening_words(texts: Iterable[str]) -> frozenset:
             all_.update(w for w in words if w[0].islower())
             if words and words[0][0].islower():
                 first[words[0]] += 1
-    return frozenset(w for w, n in first.items() if n >= 2 and n >= 0.04 * all_[w])
+
+
+# a word opens units if it does so at least so often, and in such a share of its uses
+_OPENINGS, _OPENING_SHARE = 2, 0.04
+
+
+def opening_words(texts: Iterable[str]) -> frozenset:
+    """Lower-case words that open units again and again, by their share of openings among all their uses."""
+    first, all_ = Counter(), Counter()
+    _count_openings(texts, first, all_)
+    return frozenset(w for w, n in first.items() if n >= _OPENINGS and n >= _OPENING_SHARE * all_[w])
+
+
+def table_opening_words(documents: DataFrame, text: str = "text") -> frozenset:
+    """``opening_words`` of all rows of a table, by one aggregation."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, all_ = Counter(), Counter()
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(all_), pa.string()), pa.array([first[w] for w in all_], pa.int64()), pa.array(list(all_.values()), pa.int64())], names=["word", "first", "uses"])
+
+        for batch in batches:
+            _count_openings((t for t in batch.column(0).to_pylist() if t), first, all_)
+            if len(all_) > 200_000:
+                yield done()
+                first.clear()
+                all_.clear()
+        yield done()
+
+    counts = documents.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "word string, first bigint, uses bigint")
+    sums = counts.groupBy("word").agg(F.sum("first").alias("first"), F.sum("uses").alias("uses"))
+    return frozenset(r[0] for r in sums.where((F.col("first") >= _OPENINGS) & (F.col("first") >= F.lit(_OPENING_SHARE) * F.col("uses"))).select("word").collect())
 
 
 def _features(c: Candidate) -> tuple:
@@ -410,9 +439,9 @@ class Model:
         return labels[::-1]
 
 
-def train(texts: list[str], epochs: int = EPOCHS) -> Model:
-    """Averaged structured perceptron (Collins 2002) on the units of a sample."""
-    starters = opening_words(texts)
+def train(texts: list[str], epochs: int = EPOCHS, starters: frozenset | None = None) -> Model:
+    """Averaged structured perceptron (Collins 2002) on the units of a sample; ``starters`` are its own opening words if not given."""
+    starters = opening_words(texts) if starters is None else starters
     seqs = []
     for t in texts:
         for u in units(t):
@@ -460,7 +489,8 @@ def sentence_ends(text: str, model: Model) -> list[int]:
 
 
 def fit(documents: DataFrame, text: str = "text", key: str = "doc_id", docs: int = TRAIN_DOCS) -> Model:
-    """Model trained on at most ``docs`` documents, those with the smallest hash of their key.
+    """Model trained on at most ``docs`` documents, those with the smallest hash of their key; opening words are
+    those of all documents.
 
     Only a share of the rows that is expected to hold a few times as many is ordered, so the sample costs
     one scan and a small sort at any size.
@@ -468,7 +498,7 @@ def fit(documents: DataFrame, text: str = "text", key: str = "doc_id", docs: int
     rows = documents.where(F.col(text).isNotNull() & (F.trim(text) != ""))
     share = min(1.0, 4.0 * docs / max(1, documents.count()))
     unit = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
-    return train([r[0] for r in rows.where(unit < share + 1e-9).orderBy(F.xxhash64(key), key).limit(docs).select(text).collect()])
+    return train([r[0] for r in rows.where(unit < share + 1e-9).orderBy(F.xxhash64(key), key).limit(docs).select(text).collect()], starters=table_opening_words(rows, text))
 
 
 def split_sentences(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -74,3 +74,12 @@ def test_table(spark):
     assert out.where("doc_id = 4").count() == 20_000
     empty = df.where("false")
     assert S.split_sentences(empty, S.fit(empty)).count() == 0
+
+
+def test_opening_words_of_all_documents(spark):
+    texts = [f"copper-api waits … lumen{i % 9} ends the {i}th run. Then copper-api stops." for i in range(60)] + [f"lumen{i % 9} begins." for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (99, " ")], "doc_id bigint, text string").repartition(4)
+    model = S.fit(df, docs=1)
+    assert model.starters == S.opening_words(texts) and {"copper-api", "lumen3"} <= model.starters
+    # a class that only the statistics of the other documents show
+    assert [c.after for c in S.candidates(next(S.units("It waits … copper-api ends.")), model.starters) if c.gap != "end"] == ["starter"]
