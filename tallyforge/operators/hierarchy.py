@@ -73,7 +73,7 @@ def traverse(scopes: list[str], nodes: list[str], parents: list[str | None]) ->
             way.append(at)
             at = (at[0], up[at])
         loop = set(way[way.index(at):]) if at in grey and at in way else set()
-        closing = way[-1] if loop else None
+        closing = max(loop) if loop else None  # any link of a loop can be the back edge; this choice depends on no order
         for one in way:
             yield one[0], one[1], up[one], True, CYCLE, -1, None, None, one in loop, one == closing
         black.update(way)
@@ -131,11 +131,15 @@ def _doubling(links: DataFrame, count: int) -> DataFrame:
         ring = cut(ring.join(step, ["scope", "node"]).select("scope", F.explode(F.array("node", "to")).alias("node")).distinct())
         nxt = step.select("scope", F.col("node").alias("to"), F.col("to").alias("to2"))
         step = cut(step.join(nxt, ["scope", "to"]).select("scope", "node", F.col("to2").alias("to")))
-    first = lost.join(ring, ["scope", "node"], "left_semi").groupBy("scope", "ptr").agg(F.max("node").alias("closer"))
+    # the greatest node of every loop, by doubling around it
+    loops = cut(lost.join(ring, ["scope", "node"], "left_semi").select("scope", "node", F.col("parent").alias("to"), F.col("node").alias("closer")))
+    for _ in range(math.ceil(math.log2(max(2, ring.count())))):
+        nxt = loops.select("scope", F.col("node").alias("to"), F.col("to").alias("to2"), F.col("closer").alias("closer2"))
+        loops = cut(loops.join(nxt, ["scope", "to"]).select("scope", "node", F.col("to2").alias("to"), F.greatest("closer", "closer2").alias("closer")))
     bad = (
-        lost.join(ring.withColumn("ring", F.lit(True)), ["scope", "node"], "left").join(first, ["scope", "ptr"], "left")
+        lost.join(ring.withColumn("ring", F.lit(True)), ["scope", "node"], "left").join(loops.drop("to"), ["scope", "node"], "left")
         .select("scope", "node", "parent", "stated", F.lit(CYCLE).alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"),
-                F.lit(None).cast("bigint").alias("descendants"), F.coalesce("ring", F.lit(False)).alias("in_cycle"), F.lit(False).alias("closes_cycle"))
+                F.lit(None).cast("bigint").alias("descendants"), F.coalesce("ring", F.lit(False)).alias("in_cycle"), F.coalesce(F.col("node") == F.col("closer"), F.lit(False)).alias("closes_cycle"))
     )
     return fine.unionByName(bad)
 
@@ -146,7 +150,7 @@ def hierarchy(links: DataFrame, max_component: int = 500_000, one_task: int = 0)
     * ``root`` and ``depth``: a node without parent is a root of depth 0, also one that is only named as
       a parent (``stated`` is then false). Nodes on a loop or leading into one have root ``(cycle)``,
       depth -1 and neither path nor descendants; ``in_cycle`` marks the loop itself and ``closes_cycle``
-      the node whose link is the back edge (components within ``max_component`` only).
+      the node whose link is the back edge: the greatest of each loop.
     * a node with several rows has one parent: the smallest that any row states; repeated rows and rows
       without parent do not matter. Rows with a null node are ignored. Empty input gives an empty result.
 

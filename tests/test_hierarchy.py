@@ -60,6 +60,15 @@ def test_cycles_are_marked(spark):
     assert {n for n, r in big.items() if r.in_cycle} == {"a", "b", "c", "e"} and big["d"].depth == -1
 
 
+def test_back_edges_of_large_components(spark):
+    rows = [("s", "a", "b"), ("s", "b", "c"), ("s", "c", "a"), ("s", "d", "a"), ("s", "e", "e"), ("s", "f", "g"), ("t", "a", "c"), ("t", "c", "a")]
+    rows += [("u", f"{i:02d}", f"{(i + 1) % 11:02d}") for i in range(11)] + [("u", "x", "03"), ("u", "zz", "x")]
+    for limit in (500_000, 1):
+        out = hierarchy(spark.createDataFrame(rows, SCHEMA), limit).collect()
+        assert {(r.scope, r.node) for r in out if r.closes_cycle} == {("s", "c"), ("s", "e"), ("t", "c"), ("u", "10")}
+        assert all(r.in_cycle for r in out if r.closes_cycle)
+
+
 def test_long_chain_and_empty(spark):
     rows = [("s", f"{i:05d}", f"{i - 1:05d}" if i else None) for i in range(600)]
     got = result(hierarchy(spark.createDataFrame(rows, SCHEMA)))
