@@ -190,9 +190,10 @@ def line_stamps(lines: DataFrame) -> DataFrame:
 
 def _history(key: tuple, votes: pd.DataFrame) -> pd.DataFrame:
     """Viterbi over the days of one source: violations of an offset are the lines that vote for another;
-    a change of offset costs as much as ``_CHANGE`` violations. Ties take the offset nearest to UTC."""
+    a change of offset costs as much as ``_CHANGE`` violations. Ties take the offset nearest to UTC. Votes for no
+    possible offset (null) are violations of all; a source with no other has no offset."""
     days = sorted(votes["day"].unique())
-    cands = sorted(votes["offset_s"].unique(), key=lambda o: (abs(o), o))
+    cands = sorted((int(o) for o in votes["offset_s"].dropna().unique()), key=lambda o: (abs(o), o)) or [None]
     by = {d: dict(zip(g["offset_s"], g["n"])) for d, g in votes.groupby("day")}
     cost = dict.fromkeys(cands, 0.0)
     ways: list[dict] = []
@@ -209,9 +210,9 @@ def _history(key: tuple, votes: pd.DataFrame) -> pd.DataFrame:
     at = min(cands, key=lambda o: cost[o])
     rows = []
     for d, back in zip(reversed(days), reversed(ways)):
-        rows.append((key[0], d, int(at), int(sum(by[d].values())), int(sum(by[d].values()) - by[d].get(at, 0))))
+        rows.append((key[0], d, at, int(sum(by[d].values())), int(sum(by[d].values()) - by[d].get(at, 0))))
         at = back[at]
-    return pd.DataFrame(rows[::-1], columns=["source", "day", "offset_s", "lines", "violations"])
+    return pd.DataFrame(rows[::-1], columns=["source", "day", "offset_s", "lines", "violations"]).astype({"offset_s": "Int32"})
 
 
 _CHANGE = 3.0
@@ -222,7 +223,8 @@ def zone_history(df: DataFrame, source: str, arrival: str, local_us: str, step_s
 
     A line arrives a little after it was written, so local time minus arrival, rounded up to the next
     quarter of an hour (with ``slack_s`` of tolerance), votes for an offset; a line that arrives late votes
-    for an offset that is too small and is a violation of the true one. Votes are counted per source,
+    for an offset that is too small and is a violation of the true one. Beyond 14 hours it votes for none, and a
+    day with only such lines has the offset of the days around it. Votes are counted per source,
     day and offset before any grouping, so a group holds at most one row per day and offset however
     many lines a source has.
     """
@@ -230,7 +232,7 @@ def zone_history(df: DataFrame, source: str, arrival: str, local_us: str, step_s
     votes = (
         df.where(F.col(local_us).isNotNull() & F.col(arrival).isNotNull() & F.col(source).isNotNull())
         .select(F.col(source).alias("source"), F.to_date(arrival).alias("day"),
-                (F.ceil((F.col(local_us) - arrived) / (step_s * _US) - slack_s / step_s) * step_s).cast("int").alias("offset_s"))
-        .where(F.abs("offset_s") <= 14 * 3600).groupBy("source", "day", "offset_s").agg(F.count(F.lit(1)).alias("n"))
+                (F.ceil((F.col(local_us) - arrived) / (step_s * _US) - slack_s / step_s) * step_s).alias("_vote"))
+        .groupBy("source", "day", F.when(F.abs("_vote") <= 14 * 3600, F.col("_vote")).cast("int").alias("offset_s")).agg(F.count(F.lit(1)).alias("n"))
     )
     return votes.groupBy("source").applyInPandas(_history, "source string, day date, offset_s int, lines bigint, violations bigint")

@@ -88,6 +88,19 @@ def test_zone_history_and_estimate(spark):
     assert out.utc_us == us("2026-03-01T12:10:00") and out.stamp_note == "assumed"
 
 
+def test_zone_history_keeps_very_late_lines(spark):
+    rows = []
+    for d in (1, 2, 4):
+        rows += [(len(rows) + k, f"2026-03-0{d} 13:1{k}:00", None, "src", datetime(2026, 3, d, 12, 10 + k, 5)) for k in range(5)]
+    rows += [(90, "2026-02-27 05:00:00", None, "src", datetime(2026, 3, 2, 12)), (91, "2026-03-01 05:00:00", None, "src", datetime(2026, 3, 3, 12)),
+             (92, "2026-03-01 05:00:00", None, "lost", datetime(2026, 3, 3, 12))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hist = {(r.source, r.day.day): (r.offset_s, r.lines, r.violations) for r in zone_history(with_wall_clock(df, "raw", "local"), "source_path", "received_at", "local").collect()}
+    assert hist == {("src", 1): (3600, 5, 0), ("src", 2): (3600, 6, 1), ("src", 3): (3600, 1, 1), ("src", 4): (3600, 5, 0), ("lost", 3): (None, 1, 1)}
+    out = {r.id: r.utc_us for r in normalise_stamps(df, "raw", "tz", unknown_zone="estimate").where("id in (91, 92)").collect()}
+    assert out == {91: us("2026-03-01T04:00:00"), 92: us("2026-03-01T05:00:00")}
+
+
 def test_abbreviations_are_made_from_the_database():
     table = {(z, a): o for z, a, o in abbreviations(["America/New_York", "Europe/Berlin", "No/Where"])}
     assert table == {("America/New_York", "EST"): -18000, ("America/New_York", "EDT"): -14400, ("Europe/Berlin", "CET"): 3600, ("Europe/Berlin", "CEST"): 7200}
