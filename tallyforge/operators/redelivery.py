@@ -1,9 +1,8 @@
 """Problem 1: messages delivered more than once.
 
-Method: identifiers are counted first (partial aggregation, so a hot identifier costs one row per
-map task). Identifiers seen once pass straight through; only repeated ones are ranked, and rank 1
-is the minimum of the arrival order, again a partial aggregation. The survivors of both branches
-are united.
+Method: rank 1 of every identifier is the minimum of the arrival order, by one partial aggregation over all
+identifiers (a hot one costs one row per map task). Identifiers seen once are not split off: their minimum is
+themselves, and a branch of their own would be a second pass with the same result.
 
 A delivery is named by its dedup key, or by its request id if it has no key. A request id links
 its deliveries only if one of them lacks a key; such links can chain several keys into one request,
@@ -61,7 +60,7 @@ def _survivors(slim: DataFrame) -> DataFrame:
     part = F.split("node", _SEP, 3)
     labels = cut(_chained(slim).select(F.concat_ws(_SEP, part[0], part[1]).alias("scope"), part[2].alias("pid"), "component"))
     tagged = counted.join(labels, ["scope", "pid"], "left")  # on the keys that the counts are partitioned by
-    # identifiers seen once pass, the first delivery of repeated ones has rank 1
+    # the minimum is the first delivery of a repeated identifier and the only one of another
     apart = tagged.where("component is null").select("ord", "copies")
     chained = (
         tagged.where("component is not null").groupBy("component")
