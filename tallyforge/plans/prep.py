@@ -10,6 +10,8 @@ from tallyforge.runtime import blank_to_null, table
 
 #: last day of the calendars of the day rollup
 CALENDAR_END = "2026-08-31"
+#: arrival from which deliveries are new to the store
+_NEW_SINCE = "2026-06-15"
 _DAILY_KEY = ["day", "harness", "instance_id", "session_id", "resolved_provider", "model", "project", "attrib"]
 _CHAT = {"columns": ["record_id", "stream_id", "file_no", "body"]}
 
@@ -26,6 +28,14 @@ def p1_once(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("harness").agg(F.count(F.lit(1)).alias("requests"), F.sum("input").alias("input"), F.sum("output").alias("output"))
 
 
+def p1_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored deliveries (those that came first) merged with new ones: what stays of either, per harness."""
+    rows = table(spark, sf, "usage_events").select("delivery_id", "harness", "instance_id", "dedup_key", "request_id", "received_at")
+    new = F.col("received_at") >= F.lit(_NEW_SINCE).cast("timestamp")
+    both = redelivery.merge_deliveries(rows.where(~new), rows.where(new))
+    return both.groupBy("harness").agg(F.count_if(~new).alias("stored"), F.count_if(new).alias("added"))
+
+
 def _project_days(spark: SparkSession, sf: str) -> DataFrame:
     daily = table(spark, sf, "daily_usage").select(*_DAILY_KEY, "rebuild_no", "cost")
     daily = daily.where(blank_to_null("project").isNotNull())
@@ -114,11 +124,11 @@ def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_once, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p4_found, p4_typed, p5_found, p5_objects, p5_members, p6_found, p6_descendants)}
+    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p4_found, p4_typed, p5_found, p5_objects, p5_members, p6_found, p6_descendants)}
 
 _P1_CTE = r"""
 with recursive n as (
-  select delivery_id, input, output, harness, coalesce(harness, '') || chr(31) || coalesce(nullif(trim(instance_id, e' \t\r\n'), ''), 'default') as scope,
+  select delivery_id, received_at, input, output, harness, coalesce(harness, '') || chr(31) || coalesce(nullif(trim(instance_id, e' \t\r\n'), ''), 'default') as scope,
          lower(nullif(trim(dedup_key, e' \t\r\n'), '')) as dk, lower(nullif(trim(request_id, e' \t\r\n'), '')) as rid
   from usage_events),
 p as (select *, coalesce('k' || dk, 'r' || rid) as pid from n),
@@ -171,6 +181,9 @@ union all select stream_id, file_no, 'added', '', path from came anti join moved
 ORACLE = {
     "p1_found": _P1_CTE + "select distinct delivery_id from ranked where delivery_id <> first_id",
     "p1_once": _P1_CTE + "select harness, count(*) as requests, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output from ranked where delivery_id = first_id group by 1",
+    "p1_merge": _P1_CTE + f"""
+select harness, count_if(received_at < timestamp '{_NEW_SINCE}') as stored, count_if(received_at >= timestamp '{_NEW_SINCE}') as added
+from (select *, row_number() over (partition by scope, request order by received_at >= timestamp '{_NEW_SINCE}', delivery_id) as place from named) where place = 1 group by 1""",
     "p2_found": _P2_CTE + """
 select instance_id, project, strftime(day, '%Y-%m-%d') as day_key, 'quiet' as kind from peaks where t7 = 0 and t30 > 0
 union all select instance_id, project, strftime(day, '%Y-%m-%d'), 'peak' from peaks where t7 > before""",

@@ -55,12 +55,14 @@ def test_random_against_brute_force(spark):
                 for i in range(120)]
         rng.shuffle(rows)
         assert {r[0] for r in dropped_deliveries(frame(spark, rows)).collect()} == brute(rows)
+        assert {r[0] for r in dropped_deliveries(frame(spark, rows), broadcast_keys=0).collect()} == brute(rows)
 
 
 def test_hot_key_and_repeated_rows(spark):
     rows = [(i, "a", "", "hot", "r", "") for i in range(300)] + [(5, "a", "", "hot", "r", "")] * 3 + [(1000, "a", "", "cold", "r", "")] * 2
     df = frame(spark, rows)
-    assert {r[0] for r in dropped_deliveries(df).collect()} == set(range(1, 300))
+    for keys in (10, 0):
+        assert {r[0] for r in dropped_deliveries(df, broadcast_keys=keys).collect()} == set(range(1, 300))
     assert sorted(r.delivery_id for r in keep_once(df).collect()) == [0, 1000]
 
 
