@@ -43,7 +43,7 @@ def _occurrences(slim: DataFrame, *extra: str) -> DataFrame:
 
 
 #: repeated identifiers that are broadcast (8 bytes each); more of them are joined by shuffle
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 400_000
 #: an identifier with more than one in so many of the occurrences is spread over as many tasks; there are fewer than this number
 HOT_SHARE = 1_000
 _SALTS = 64

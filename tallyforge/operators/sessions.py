@@ -16,16 +16,13 @@ def _scope() -> Column:
     return F.to_json(F.array("harness", "instance_id"))
 
 
-ONE_TASK = 200_000  # sessions that one task traverses without a search for components
-
-
 def session_tree(meta: DataFrame) -> DataFrame:
     """Hierarchy of sessions from their metadata: ``harness, instance_id, session_id, root_id, depth, path``.
 
     The root is the highest ancestor; a parent without metadata counts as a session. On loops the walk
     of a session ends before it would repeat: the session is its own root.
     """
-    tree = hierarchy(meta.select(_scope().alias("scope"), F.col("session_id").alias("node"), F.col("parent_id").alias("parent")), one_task=ONE_TASK)
+    tree = hierarchy(meta.select(_scope().alias("scope"), F.col("session_id").alias("node"), F.col("parent_id").alias("parent")), paths=True)
     part = F.from_json("scope", "array<string>")
     return tree.select(part[0].alias("harness"), part[1].alias("instance_id"), F.col("node").alias("session_id"),
                        F.when(F.col("depth") < 0, F.col("node")).otherwise(F.col("root")).alias("root_id"), "depth",

@@ -118,13 +118,24 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """Number of descendants and deepest level below every root."""
+    """Number of descendants and of levels below every session that has any."""
     tree = hierarchy.hierarchy(hierarchy.session_links(table(spark, sf, "usage_events")))
-    return hierarchy.descendants(tree).groupBy("scope", "ancestor").agg(F.count(F.lit(1)).alias("below"), F.max("distance").alias("levels"))
+    return tree.where("descendants > 0").select("scope", F.col("node").alias("ancestor"), F.col("descendants").alias("below"), F.col("height").alias("levels"))
+
+
+def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Path of every session of a tree, and whether rows state several parents for it."""
+    tree = hierarchy.hierarchy(hierarchy.session_links(table(spark, sf, "usage_events")), paths=True)
+    return tree.where("depth >= 0").select("scope", "node", F.array_join("path", " > ").alias("way"), "conflict")
+
+
+def p6_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions on loops, and which of them closes its loop."""
+    return hierarchy.session_hierarchy(table(spark, sf, "usage_events")).where("in_cycle").select("harness", "instance_id", "session_id", "parent_id", "closes_cycle")
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p4_found, p4_typed, p5_found, p5_objects, p5_members, p6_found, p6_descendants)}
+    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p4_found, p4_typed, p5_found, p5_objects, p5_members, p6_found, p6_descendants, p6_paths, p6_cycles)}
 
 _P1_CTE = r"""
 with recursive n as (
@@ -200,6 +211,26 @@ up as (
   union all select u.scope, u.session_id, p.parent_id, u.depth + 1 from up u join p on p.scope = u.scope and p.session_id = u.top and p.parent_id is not null where u.depth < 2000),
 lost as (select scope, session_id from up where depth >= 2000)
 select scope, top as ancestor, count(*) as below, cast(max(depth) as integer) as levels from up anti join lost using (scope, session_id) group by 1, 2""",
+    "p6_paths": """
+with recursive p as (
+  select '["' || coalesce(harness, '') || '","' || coalesce(nullif(trim(instance_id), ''), 'default') || '"]' as scope, session_id as node, min(nullif(trim(parent_id), '')) as parent,
+         count(distinct nullif(trim(parent_id), '')) > 1 as conflict
+  from usage_events where trim(coalesce(session_id, '')) <> '' group by 1, 2),
+alls as (select * from p union all select distinct scope, parent, null, false from p where parent is not null and (scope, parent) not in (select scope, node from p)),
+walk as (select scope, node, node as way, conflict from alls where parent is null
+  union all select a.scope, a.node, w.way || ' > ' || a.node, a.conflict from walk w join alls a on a.scope = w.scope and a.parent = w.node)
+select * from walk""",
+    "p6_cycles": """
+with recursive p as (
+  select harness, coalesce(nullif(trim(instance_id), ''), 'default') as instance_id, session_id, min(nullif(trim(parent_id), '')) as parent_id
+  from usage_events where trim(coalesce(session_id, '')) <> '' group by 1, 2, 3),
+walk as (select harness, instance_id, session_id, parent_id as at from p where parent_id is not null
+  union select w.harness, w.instance_id, w.session_id, p.parent_id from walk w
+  join p on p.harness is not distinct from w.harness and p.instance_id = w.instance_id and p.session_id = w.at and p.parent_id is not null),
+ring as (select harness, instance_id, session_id from walk where at = session_id)
+select p.harness, p.instance_id, p.session_id, p.parent_id,
+       p.session_id = (select max(w.at) from walk w where w.harness is not distinct from p.harness and w.instance_id = p.instance_id and w.session_id = p.session_id) as closes_cycle
+from p join ring r on r.harness is not distinct from p.harness and r.instance_id = p.instance_id and r.session_id = p.session_id""",
     "p6_found": """
 with recursive p as (
   select harness, coalesce(nullif(trim(instance_id), ''), 'default') as instance_id, session_id, min(nullif(trim(parent_id), '')) as parent_id

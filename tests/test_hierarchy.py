@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from tallyforge.operators.components import connected_components
-from tallyforge.operators.hierarchy import descendants, hierarchy, session_hierarchy
+from tallyforge.operators.hierarchy import descendants, hierarchy, session_hierarchy, traverse
 
 SCHEMA = "scope string, node string, parent string"
 
@@ -34,7 +36,7 @@ def result(df):
 def test_random_forests(spark, limit):
     rng = random.Random(5)
     rows = [(rng.choice("xy"), f"n{i}", rng.choice([None, "", f"n{rng.randrange(40)}"])) for i in range(40)] + [("x", "n3", None)] * 3
-    tree = hierarchy(spark.createDataFrame(rows, SCHEMA), limit)
+    tree = hierarchy(spark.createDataFrame(rows, SCHEMA), limit, paths=True).cache()
     assert result(tree) == brute(rows)
     want = brute(rows)
     below = {}
@@ -44,6 +46,12 @@ def test_random_forests(spark, limit):
     for r in tree.collect():
         if r.depth >= 0:
             assert r.descendants == below.get((r.scope, r.node), 0)
+    rows = tree.collect()
+    for r in rows:  # descendants by the pre-order
+        if r.depth >= 0:
+            inside = {x.node for x in rows if (x.scope, x.root) == (r.scope, r.root) and r.enter < x.enter <= r.enter + r.descendants}
+            deep = [(x.node, x.depth) for x in rows if x.scope == r.scope and x.path and r.node in x.path[:-1]]
+            assert inside == {n for n, _ in deep} and r.height == max([d - r.depth for _, d in deep], default=0)
     got = {}
     for r in descendants(tree).collect():
         got[r.scope, r.ancestor] = got.get((r.scope, r.ancestor), 0) + 1
@@ -71,12 +79,34 @@ def test_back_edges_of_large_components(spark):
 
 def test_long_chain_and_empty(spark):
     rows = [("s", f"{i:05d}", f"{i - 1:05d}" if i else None) for i in range(600)]
-    got = result(hierarchy(spark.createDataFrame(rows, SCHEMA)))
+    got = result(hierarchy(spark.createDataFrame(rows, SCHEMA), paths=True))
     assert got["s", "00599"][:2] == ("00000", 599)
     assert hierarchy(spark.createDataFrame([], SCHEMA)).count() == 0
     assert hierarchy(spark.createDataFrame([("s", None, "x"), (None, None, None)], SCHEMA)).count() == 0
 
 
+def test_deep_chain_holds_no_paths():
+    n = 100_000
+    names = pa.array([f"{i:06d}" for i in range(n)])
+    rows = pa.table({"scope": pa.array(["s"] * n), "node": names, "parent": pa.concat_arrays([pa.array([None], pa.string()), names[:-1]]), "conflict": pa.array([False] * n)})
+    tracemalloc.start()
+    out = pa.Table.from_batches(traverse(rows))
+    assert tracemalloc.get_traced_memory()[1] < 200 * 2**20
+    tracemalloc.stop()
+    last = out.slice(n - 1).to_pylist()[0]
+    assert (last["node"], last["root"], last["depth"], last["descendants"]) == ("099999", "000000", n - 1, 0) and out.column("descendants")[0].as_py() == n - 1
+
+
+def test_both_plans_give_the_same_rows(spark):
+    rng = random.Random(11)
+    rows = [("s", f"n{i}", f"n{rng.randrange(i)}" if i else None) for i in range(150)] + [("t", f"m{i}", f"m{(i * 7 + 1) % 60}") for i in range(60)]
+    rows += [("s", "n9", "n2"), ("s", "n9", "n1"), ("s", "n70", " "), ("u", "hub", "")] + [("u", f"h{i}", "hub") for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole, split = hierarchy(df, paths=True), hierarchy(df, 1, paths=True)
+    assert whole.columns == split.columns and sorted(map(str, whole.collect())) == sorted(map(str, split.collect()))
+    assert [r.node for r in whole.where("conflict").collect()] == ["n9"]
+
+
 def test_sessions_of_instances_stay_apart(spark):
     rows = [("h", "", "a", None, 1), ("h", None, "b", "a", 2), ("h", "default", "b", "", 3), ("h", "other", "b", "a", 4), (None, "", "", "a", 5)]
     ev = spark.createDataFrame(rows, "harness string, instance_id string, session_id string, parent_id string, scope int")
