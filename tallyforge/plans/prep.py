@@ -224,12 +224,12 @@ select * from walk""",
 with recursive p as (
   select harness, coalesce(nullif(trim(instance_id), ''), 'default') as instance_id, session_id, min(nullif(trim(parent_id), '')) as parent_id
   from usage_events where trim(coalesce(session_id, '')) <> '' group by 1, 2, 3),
-walk as (select harness, instance_id, session_id, parent_id as at from p where parent_id is not null
+walk as (select harness, instance_id, session_id, parent_id as up from p where parent_id is not null
   union select w.harness, w.instance_id, w.session_id, p.parent_id from walk w
-  join p on p.harness is not distinct from w.harness and p.instance_id = w.instance_id and p.session_id = w.at and p.parent_id is not null),
-ring as (select harness, instance_id, session_id from walk where at = session_id)
+  join p on p.harness is not distinct from w.harness and p.instance_id = w.instance_id and p.session_id = w.up and p.parent_id is not null),
+ring as (select harness, instance_id, session_id from walk where up = session_id)
 select p.harness, p.instance_id, p.session_id, p.parent_id,
-       p.session_id = (select max(w.at) from walk w where w.harness is not distinct from p.harness and w.instance_id = p.instance_id and w.session_id = p.session_id) as closes_cycle
+       p.session_id = (select max(w.up) from walk w where w.harness is not distinct from p.harness and w.instance_id = p.instance_id and w.session_id = p.session_id) as closes_cycle
 from p join ring r on r.harness is not distinct from p.harness and r.instance_id = p.instance_id and r.session_id = p.session_id""",
     "p6_found": """
 with recursive p as (

@@ -1,7 +1,8 @@
-"""Session helpers: tables by directory, reliable checkpoints, sized broadcasts."""
+"""Session helpers: tables by directory, reliable checkpoints, plan barriers."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -34,15 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session that names none (local tests)
-    gets a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session that names none (tests)
+    gets a folder of its own, removed when it ends; elsewhere a folder of one machine would lose rows with it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyforge-checkpoint-"))
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="tallyforge-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
