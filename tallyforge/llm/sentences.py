@@ -4,31 +4,41 @@ Method: characters are tagged boundary (B) or inside (I) by a linear-chain model
 Layout comes first: blank lines, headings, fenced code and list items cut a text into units, and
 quote or comment prefixes are taken away. Within a unit only characters that close a run of
 terminal marks (with its closing quotes and brackets), and in scripts without marks the last character
-before a blank, can be B; all others have the single state I, so the lattice is walked from one
-such character to the next. The last character of a unit is always B.
-
-The model is an averaged structured perceptron over features of the mark, of the word before it,
-of what follows, of the quotation around it, and over the label of the previous candidate. It is
-trained here, on a bounded sample of the documents (``TRAIN_DOCS``) whose labels come from rules of
-orthography and from the sample's own statistics of words that open units. For scripts without
-terminal marks the training text is stripped of its punctuation first, so that blanks have to carry
-the decision.
+before a blank, can be B; all others have the single state I, also marks in a quotation that is part
+of a sentence. The lattice is walked from one such character to the next. The last character of a unit is always B.
+
+Nothing is labelled by hand, and there are no lists of words. What the model knows comes from the layout of the corpus:
+where a unit ends a sentence ends, and where it begins one begins. Counted over all documents (``Stats``), that tells for the word
+before a mark how often it ends units against how often the text goes on behind it, and for the word after it how
+often it opens units. An abbreviation is seen behind marks but hardly ever at the end of a unit, and most words of
+the middle of a sentence never open one.
+
+The model is an averaged structured perceptron over these two statistics, the shapes around the mark, the quotation, and
+the label of the previous candidate. It is trained on a bounded sample (``TRAIN_DOCS``) whose units are run together:
+the joints are known boundaries. The labels of the other candidates are hidden; they start from the statistics and are
+decoded anew with the model after every epoch but the last. For scripts without terminal marks the text is stripped of its
+punctuation first, so that blanks have to carry the decision.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.runtime import cut
+
 TRAIN_DOCS = 2_000  # documents in the training sample, at most
-EPOCHS = 4
+EPOCHS = 6
+#: words that hold less than this share of all marks are known by their class only, so fewer than its inverse are kept
+LEAST_SHARE = 1 / 200_000
 
 # fixed values: marks that may end a sentence
 _MARKS = ".!?…。！？｡．؟।॥۔"
@@ -36,22 +46,6 @@ _MARKS = ".!?…。！？｡．؟।॥۔"
 _PAIRS = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "‘": "’", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉", "‹": "›", "‚": "‘"}
 _BRACKETS = "(（[【"
 _CLOSERS = set(_PAIRS.values()) | {'"'}
-# fixed values: abbreviations that stand before a name, a number or the rest of a phrase, never at an end
-_NEVER = frozenset("""
-mr mrs ms dr prof st mt rev gen col capt lt sgt hon gov sen rep messrs
-e.g i.e vs viz cf approx ca incl excl avg intl
-z d u v b bzw ggf inkl exkl lt abschn abb abt hrsg sog vgl evtl mio mrd tel str nr nrn bd kap usf geb gest jh
-p pág págs núm aprox sr sra srta dpto depto avda ej ud uds
-réf art env mme mlle ex chap fig éd
-т е см напр рис стр гл тыс млн млрд долл руб ок г гг ул им проф акад
-डॉ श्री प्रो सं पृ
-""".split())
-# fixed values: abbreviations that only count as such before a number or a lower-case word
-_BEFORE_NUMBER = frozenset("no nos fig figs sec ch vol pp max min est art p pág núm nr abb ed eds op tab eq".split())
-# fixed values: abbreviations that may also end a sentence
-_MAY_END = frozenset("etc inc ltd co corp bros dept univ u.s u.k u.n a.m p.m jr sr usw a h o i д п др c s.a ave blvd rd jan feb mar apr jun jul aug sep sept oct nov dec".split())
-# fixed values: month names that follow a German ordinal
-_MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
 _LINE = re.compile(r"([^\r\n]*)(\r\n|\r|\n|\Z)")
 _PREFIX = re.compile(r"[^\S\r\n]*(?:(?:>|//+|--(?=\s|$))[^\S\r\n]?[^\S\r\n]*)+")
@@ -64,7 +58,6 @@ _INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_/=%@-")
 _THAI = "฀-๿຀-໿က-႟ក-៿"  # scripts that end sentences with a blank
 _BLANK_END = re.compile(rf"(?<=[{_THAI}])\s+(?=[{_THAI}])")
 _UNMARKED = re.compile(rf"[{_THAI}]")
-_WORD_BEFORE = re.compile(r"\S+\Z")
 _WORD_AFTER = re.compile(r"[^\s.!?,;:。！？，]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿ｦ-ﾟ]")
 
@@ -149,10 +142,13 @@ def units(text: str) -> Iterator[Unit]:
     yield from flush()
 
 
+_QUOTE = re.compile(r"[“”«»„「」『』‘’()（）\[\]【】《》〈〉‹›‚\"]")
+
+
 def _pairs(s: str) -> list[tuple[int, int]]:
     """Matched quotations and brackets; what does not match is ordinary text."""
     out, stack = [], []
-    for m in re.finditer(r"[“”«»„「」『』‘’()（）\[\]【】《》〈〉‹›‚\"]", s):
+    for m in _QUOTE.finditer(s):
         c, i = m.group(), m.start()
         if stack and ((want := _PAIRS.get(s[stack[-1]])) == c or (c == '"' and s[stack[-1]] == '"')):
             if c == "’" and i + 1 < len(s) and s[i + 1].isalpha() and s[i - 1].isalpha():
@@ -175,91 +171,87 @@ def _pairs(s: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-@dataclass
+@dataclass(slots=True)
 class Candidate:
     end: int  # offset in the unit after its last character
     mark: str
-    before: str  # class of the word before the mark
+    before: str  # shape of the word before the mark
     gap: str
-    after: str  # class of what follows
+    after: str  # shape of what follows
     quote: str
-    word: str
-    next: str
+    left: str  # what the statistics of ends know it by
+    right: str  # what the statistics of beginnings know the following by
 
-    def joint(self) -> tuple:
-        return self.mark, self.before, self.gap, self.after, self.quote
+
+_KINDS = {"。": "full", "｡": "full", "।": "danda", "॥": "danda", "۔": "full", "！": "wide", "？": "wide"}
+_TRAILING = re.compile(r"[*_`~'’]+\Z|[*_`~'’]*<")
+_EDGE = "\"'“„«‘(（[「『¿¡*_`~<"
+_LONG = 100  # a longer word before a mark is known by its shape only
 
 
 def _mark_class(run: str, cjk: bool) -> str:
     last = run[-1]
     if last == "…" or run.endswith("..."):
         return "cjk ellipsis" if len(run) > 1 and last == "…" or cjk else "ellipsis" if last == "…" else "dots"
-    if last in ".．":
-        return "dot"
-    return {"。": "full", "｡": "full", "।": "danda", "॥": "danda", "۔": "full"}.get(last, "wide" if last in "！？" else "bang")
+    return "dot" if last in ".．" else _KINDS.get(last, "bang")
 
 
-def _before_class(word: str, run: str, s: str, at: int, nxt: str) -> tuple[str, str]:
-    if run[-1] not in ".．":
-        return "-", ""
-    w = word.lstrip("\"'“„«‘(（[「『¿¡").lower()
+def _left(word: str) -> tuple[str, str]:
+    """(shape, key) of the word before a full stop."""
+    w = word.lstrip(_EDGE)
     if "'" in w or "’" in w:
         w = re.split(r"['’]", w)[-1]
     if not w:
-        return "none", w
-    if w in _BEFORE_NUMBER and (nxt[:1].isdigit() or nxt[:1].islower()):
-        return "before number", w
-    if w in _MAY_END and not (w in _NEVER):
-        return "may end", w
-    if w in _NEVER:
-        return "never", w
+        return "none", "<none>"
+    if len(w) > _LONG:
+        return "long", "<long>"
     if w.isdigit():
-        return ("ordinal" if len(w) < 3 and nxt.lower() in _MONTHS else "number"), w
-    if len(w) == 1 and word[-1:].isupper():
-        return "initial", w
-    if "://" in w:
-        return "url", w
-    if re.search(r"[/@=]", w):
-        return "path", w
-    last = w[-1]
-    return ("caseless" if last.isalpha() and last.lower() == last.upper() else "word"), w
-
-
-def _after_class(s: str, i: int, starters: frozenset) -> tuple[str, str, str]:
-    """(gap, class of what follows position ``i``, the next word)."""
-    j = i
-    while j < len(s) and (s[j].isspace() or s.startswith("&nbsp;", j)):
+        return ("digits" if len(w) < 3 else "number"), f"<{min(len(w), 3)} digits>"
+    if w[0].isdigit() and not any(c.isalpha() for c in w):
+        return "number", "<number>"
+    if any(c in "/@=:" for c in w):
+        return "path", "<path>"
+    if any(c.isdigit() for c in w):
+        return "name", "<name>"
+    if len(w) == 1:
+        return ("initial" if w.isupper() else "letter"), w
+    if w[-1].isalpha() and w[-1].lower() == w[-1].upper():
+        return "caseless", w
+    return ("dotted" if "." in w else "word"), w.lower()
+
+
+def _right(s: str, i: int, stats: Stats) -> tuple[str, str, str]:
+    """(gap, shape, key) of what follows position ``i``."""
+    j, n = i, len(s)
+    while j < n and (s[j].isspace() or s[j] == "&" and s.startswith("&nbsp;", j)):
         j += 1 if s[j] != "&" else 6
-    if j == len(s):
+    if j == n:
         return "end", "none", ""
-    gap = "space" if j > i else "glue"
-    if gap == "space" and (m := _MARKUP.match(s, j)) and m.end() < len(s):
+    gap = "space" if j > i or not i else "glue"
+    if gap == "space" and s[j] in "*_`~'<" and (m := _MARKUP.match(s, j)) and m.end() < n:
         j = m.end()  # marks of emphasis, code and tags say nothing about the word in them
     c = s[j]
-    m = _WORD_AFTER.match(s, j)
-    word = m.group() if m else c
-    if c in "“«„「『‘\"(（[‹《":
-        kind = "open"
-    elif c in "¿¡":
-        kind = "inverted"
-    elif c.isdigit():
-        kind = "digit"
-    elif _CJK.match(c):
-        kind = "cjk"
-    elif c.isalpha():
-        kind = ("capital" if (word[1].islower() if len(word) > 1 else gap == "space") else "upper") if c.isupper() or c.istitle() else "caseless" if c.lower() == c.upper() else "starter" if word in starters else "lower"
-    elif c in ",;:，、；：،؛":
-        kind = "comma"
-    elif c in "—–-":
-        kind = "dash"
-    else:
-        kind = "other"
-    return gap, kind, word
-
-
-def candidates(u: Unit, starters: frozenset) -> list[Candidate]:
+    if c.isalpha():
+        if _CJK.match(c):
+            return gap, "cjk", s[j:j + 2]
+        word = _WORD_AFTER.match(s, j).group()
+        word = (_TRAILING.split(word, 1)[0] if word[-1] in "*_`~'’>" else word) or c
+        key = "<named>" if any(x.isdigit() for x in word) else word
+        if c.isupper() or c.istitle():
+            return gap, "capital" if (word[1].islower() if len(word) > 1 else gap == "space") else "upper", key if key is word else "<Named>"
+        if c.lower() == c.upper():
+            return gap, "caseless", key
+        return gap, "starter" if stats.opens(key) else "lower", key
+    if c.isdigit():
+        return gap, "digit", "<digit>"
+    kind = "open" if c in "“«„「『‘\"(（[‹《" else "inverted" if c in "¿¡" else "comma" if c in ",;:，、；：،؛" else "dash" if c in "—–-" else "other"
+    return gap, kind, f"<{kind}>"
+
+
+def candidates(u: Unit, stats: Stats) -> list[Candidate]:
+    """Characters of a unit that may be boundaries, with their contexts; the last one has the gap ``end``."""
     s = u.text
-    pairs = _pairs(s)
+    pairs = _pairs(s) if _QUOTE.search(s) else []
     close_at = {b: (a, b) for a, b in pairs}
     begun: dict[int, str] = {}  # opener -> how it was opened
     alone: dict[int, bool] = {}  # opener -> the quotation is no part of another sentence
@@ -269,200 +261,311 @@ def candidates(u: Unit, starters: frozenset) -> list[Candidate]:
             j -= 1
         begun[a] = "start" if j < 0 or s[j] in _MARKS or (s[j] in _CLOSERS and j > 0 and s[j - 1] in _MARKS) else "colon" if s[j] in ":：" else "middle"
         inner = s[a + 1:b].rstrip()
-        gap, kind, _ = _after_class(s, b + 1, starters)
+        gap, kind, _ = _right(s, b + 1, stats)
         closed = bool(inner) and inner[-1] in _MARKS
         alone[a] = begun[a] == "start" and closed and (gap == "end" or gap == "space" and kind in ("upper", "capital", "starter", "digit", "open", "inverted", "caseless", "cjk"))
     out: list[Candidate] = []
+    n = len(s)
     for m in _CLUSTER.finditer(s):
-        i, run = m.end(), m.group()
-        if i < len(s) and s[i] in _INNER and run.isascii():
+        at, i, run = m.start(), m.end(), m.group()
+        if i < n and s[i] in _INNER and run.isascii():
             continue  # inside a number, name or address: such a mark has the single state I
         closed: list[tuple[int, int]] = []
-        while i < len(s):
+        while pairs and i < n or i < n and s[i] in "”」』）】》":
             k = i
             if s[k].isspace():
-                while k < len(s) and s[k].isspace():
+                while k < n and s[k].isspace():
                     k += 1
-                if not (k < len(s) and s[k] in "»›" and k in close_at):
+                if not (k < n and s[k] in "»›" and k in close_at):
                     break
-            if k in close_at and close_at[k][0] < m.start():
+            if k in close_at and close_at[k][0] < at:
                 closed.append(close_at[k])
                 i = k + 1
             elif s[k] in "”」』）】》" and k not in close_at:
                 i = k + 1
             else:
                 break
-        around = [p for p in pairs if p[0] < m.start() and p[1] >= i]
-        gap, kind, nxt = _after_class(s, i, starters)
-        word = (w.group() if (w := _WORD_BEFORE.search(s[max(0, m.start() - 60):m.start()])) else "")
-        cjk = bool(word and _CJK.match(word[-1])) and gap == "glue"
-        before, lex = _before_class(word, run, s, m.start(), nxt)
+        around = [p for p in pairs if p[0] < at and p[1] >= i]
         if around and not all(alone[a] for a, _ in around):
-            quote = "within"
-        elif closed:
+            continue  # a sentence within a sentence ends nothing
+        gap, kind, right = _right(s, i, stats)
+        quote = "out"
+        if closed:
             a = closed[-1][0]
             quote = "alone" if alone[a] else ("bracket " if s[a] in _BRACKETS else "") + begun[a]
+        mark = _mark_class(run, gap == "glue" and at > 0 and bool(_CJK.match(s[at - 1])))
+        if mark == "dot" and quote == "out":
+            k = at
+            while k > 0 and not s[k - 1].isspace() and at - k <= _LONG and not _CJK.match(s[k - 1]):
+                k -= 1
+            shape, left = _left(s[k:at])
         else:
-            quote = "out"
-        out.append(Candidate(i, _mark_class(run, cjk), before, gap, kind, quote, lex, nxt))
+            shape, left = "-", f"<{mark} {quote}>"
+        out.append(Candidate(i, mark, shape, gap, kind, quote, left, right))
     if _UNMARKED.search(s):
         for m in _BLANK_END.finditer(s):
-            inside = any(a < m.start() < b for a, b in pairs)
-            out.append(Candidate(m.start(), "blank", "-", "space", "caseless", "within" if inside else "out", "", ""))
+            if not any(a < m.start() < b for a, b in pairs):
+                out.append(Candidate(m.start(), "blank", "-", "space", "unmarked", "out", "<blank>", "<unmarked>"))
+        last = len(s)
+        if _UNMARKED.match(s[-1]) and not (out and out[-1].end == last):
+            out.append(Candidate(last, "blank", "-", "end", "none", "out", "<blank>", ""))
         out.sort(key=lambda c: c.end)
     return out
 
 
-_ORDINARY = ("word", "number", "path", "url", "caseless", "-")  # classes of words that are no abbreviation
-_STRONG = ("upper", "capital", "starter", "open", "inverted", "digit")
-
-
-def rule(c: Candidate) -> bool:
-    """Label of a candidate by orthography: the teacher of the model."""
-    if c.gap == "end":
-        return True
-    if c.quote == "within" or c.after == "comma":
-        return False
-    if c.mark == "blank":
-        return True
-    if c.quote == "alone":
-        return True
-    strong = c.after in _STRONG
-    if c.quote not in ("out", "alone"):
-        if c.quote.endswith("colon"):
-            return True
-        return c.quote.endswith("middle") and c.gap == "space" and c.after in ("upper", "capital", "starter", "inverted") and c.mark in ("dot", "bang") and not c.quote.startswith("bracket")
-    if c.mark in ("full", "danda"):
-        return True
-    if c.mark == "wide":
-        return c.after != "dash"
-    if c.mark == "cjk ellipsis":
-        return c.gap == "space" and strong
-    if c.mark in ("ellipsis", "dots"):
-        return c.gap == "space" and strong
-    if c.gap == "glue":
-        return c.after == "capital" and c.before in ("-", "word", "path", "number") or (c.mark == "bang" and c.after in ("cjk", "caseless"))
-    if c.mark == "bang":
-        return c.after != "dash"
-    if c.before in ("never", "before number", "ordinal", "initial", "none"):
-        return False
-    if c.before == "may end":
-        return c.after in ("upper", "capital", "starter", "open", "inverted")
-    return c.after not in ("dash", "other") or c.before == "caseless"
-
-
-def _count_openings(texts: Iterable[str], first: Counter, all_: Counter) -> None:
+_LENGTHS = 10  # longer words are of one class
+_SURE = 0.8  # share of boundaries of a class whose words are taken for ordinary whatever the single word shows
+_PRIOR = 0.8  # share of boundaries among marks of which nothing is known
+_SMOOTH = 3.0  # occurrences that a word's class counts for
+_BOUNDS = (0.03, 0.1, 0.3, 0.6)  # of the classes that shares are put into
+_MOST = 0.9  # of the words that tell the ratio, by occurrence at edges
+_OPEN_SHAPES = {"ends": ("word", "caseless"), "begins": ("capital", "cjk", "caseless")}  # of words that tell it
+
+
+@dataclass
+class Stats:
+    """What the layout of all documents tells about words at marks.
+
+    ``ends[key, shape]`` is (units that end with the word and its mark, marks behind it within units), ``begins[key, shape]`` (units that begin with
+    it, marks within units that it follows). For a word that only ever stands at boundaries the second is up to ``ratio``
+    times the first (most words, by side), so ``ratio`` times the first tells how many of the second can be boundaries.
+    """
+
+    ends: dict = field(default_factory=dict)
+    begins: dict = field(default_factory=dict)
+    classes: dict = field(default_factory=dict)  # shares of classes of words, by side and class
+    ratio: dict = field(default_factory=lambda: {"ends": 1.0, "begins": 1.0})
+    known: dict = field(default_factory=dict)
+
+    def share(self, side: str, key: str, shape: str) -> tuple[float, float]:
+        """Estimated share of boundaries among the marks behind (``ends``) or before (``begins``) a word, and that of its class."""
+        have = self.known.get((side, key, shape))
+        if have is None:
+            edge, inside, cls = getattr(self, side).get((key, shape), (0, 0, shape))
+            prior = self.classes.get((side, cls), self.classes.get((side, shape), _PRIOR))
+            have = self.known[side, key, shape] = (min(1.0, (self.ratio[side] * edge + _SMOOTH * prior) / (inside + _SMOOTH)), prior)
+        return have
+
+    def shares(self, c: Candidate) -> tuple[float, float, bool]:
+        """Shares of the words on both sides, and whether both are of classes that nearly always stand at boundaries."""
+        end, ends = self.share("ends", c.left, c.before)
+        begin, begins = self.share("begins", c.right, "lower" if c.after == "starter" else c.after)
+        return end, begin, ends >= _SURE and begins >= _SURE
+
+    def opens(self, key: str) -> bool:
+        """Whether a lower-case word opens units as often as it follows marks within them, or nearly so."""
+        edge, inside, _ = self.begins.get((key, "lower"), (0, 0, ""))
+        return edge > 1 and self.ratio["begins"] * edge > 0.3 * inside
+
+
+def _word_class(side: str, key: str, shape: str, dotted: int, plain: int) -> str:
+    """Class of a word: its shape, how often it stands at a mark among all its uses, and for ends its length."""
+    if key.startswith("<") or side == "begins" and shape != "capital":
+        return shape
+    often = dotted / (dotted + plain) if dotted + plain else 0.0
+    return f"{shape} {min(len(key), _LENGTHS) if side == 'ends' else ''} {'always' if often >= 0.9 else 'often' if often >= 0.5 else 'seldom'}"
+
+
+_WORDS = re.compile(r"[^\s!?,;:。！？，।؟()\[\]“”„«»\"]+")
+
+
+def _count_units(texts: Iterable[str], counts: dict) -> None:
+    """Adds the occurrences at edges of units, at marks within them, and of plain words to ``counts[(side, key, shape)]``."""
+    blank = Stats()
     for t in texts:
         for u in units(t):
             if u.whole:
                 continue
-            words = re.findall(r"[^\s.!?,;:。！？，]+", u.text)
-            all_.update(w for w in words if w[0].islower())
-            if words and words[0][0].islower():
-                first[words[0]] += 1
-
+            for c in candidates(u, blank):
+                k = counts[("ends", c.left, c.before)]
+                k[0 if c.gap == "end" else 1] += 1
+                if c.gap != "end":
+                    counts[("begins", c.right, "lower" if c.after == "starter" else c.after)][1] += 1
+            gap, kind, key = ("space", "unmarked", "<unmarked>") if _UNMARKED.match(u.text) else _right(u.text, 0, blank)
+            if key:
+                counts[("begins", key, "lower" if kind == "starter" else kind)][0] += 1
+            for w in _WORDS.findall(u.text):
+                if not w.endswith(".") and len(w) <= _LONG:
+                    shape, key = _left(w)
+                    if not key.startswith("<"):
+                        counts[("ends", key, shape)][2] += 1
+                if w[0].isupper() and w[1:2].islower() and (w := w.rstrip(".")).isalpha():
+                    counts[("begins", w, "capital")][2] += 1  # all uses; those at marks are taken off below
+
+
+def _stats(rows: Iterable[tuple]) -> Stats:
+    """``Stats`` of rows (side, key, shape, edge, inside, class); rows with an empty key are sums of classes."""
+    out = Stats()
+    sums, loose = {}, {"ends": [], "begins": []}
+    for side, key, shape, edge, inside, cls in rows:
+        if key:
+            getattr(out, side)[key, shape] = (edge, inside, cls)
+            if edge >= 5 and shape in _OPEN_SHAPES[side]:
+                loose[side].append((inside / edge, edge))
+        else:
+            sums[side, cls] = (edge, inside)
+    for side, found in loose.items():
+        found.sort()
+        most, seen = _MOST * sum(n for _, n in found), 0
+        for r, n in found:
+            seen += n
+            out.ratio[side] = max(r, 1.0)
+            if seen >= most:
+                break
+    out.classes = {(side, cls): min(1.0, (out.ratio[side] * e + 0.5) / (i + 1.0)) for (side, cls), (e, i) in sums.items()}
+    return out
 
-# a word opens units if it does so at least so often, and in such a share of its uses
-_OPENINGS, _OPENING_SHARE = 2, 0.04
 
+def text_stats(texts: Iterable[str]) -> Stats:
+    """``Stats`` of texts in memory."""
+    counts: dict = defaultdict(lambda: [0, 0, 0])
+    _count_units(texts, counts)
+    rows, sums = [], defaultdict(lambda: [0, 0])
+    for (side, key, shape), (edge, inside, plain) in counts.items():
+        plain = max(plain - edge - inside, 0) if side == "begins" else plain
+        cls = _word_class(side, key, shape, edge + inside, plain)
+        if edge + inside:
+            rows.append((side, key, shape, edge, inside, cls))
+            for c in {cls, shape}:
+                sums[side, c][0] += edge
+                sums[side, c][1] += inside
+    return _stats([*rows, *((side, "", "", e, i, c) for (side, c), (e, i) in sums.items())])
 
-def opening_words(texts: Iterable[str]) -> frozenset:
-    """Lower-case words that open units again and again, by their share of openings among all their uses."""
-    first, all_ = Counter(), Counter()
-    _count_openings(texts, first, all_)
-    return frozenset(w for w, n in first.items() if n >= _OPENINGS and n >= _OPENING_SHARE * all_[w])
 
+def table_stats(documents: DataFrame, text: str = "text") -> Stats:
+    """``Stats`` of all rows of a table, by one aggregation; only words with ``LEAST_SHARE`` of all marks come to the driver."""
+    names = ["side", "key", "shape", "edge", "inside", "plain"]
 
-def table_opening_words(documents: DataFrame, text: str = "text") -> frozenset:
-    """``opening_words`` of all rows of a table, by one aggregation."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, all_ = Counter(), Counter()
+        counts: dict = defaultdict(lambda: [0, 0, 0])
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(all_), pa.string()), pa.array([first[w] for w in all_], pa.int64()), pa.array(list(all_.values()), pa.int64())], names=["word", "first", "uses"])
+            cols = list(zip(*((*k, *v) for k, v in counts.items()))) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(cols)], names=names)
 
         for batch in batches:
-            _count_openings((t for t in batch.column(0).to_pylist() if t), first, all_)
-            if len(all_) > 200_000:
+            _count_units((t for t in batch.column(0).to_pylist() if t), counts)
+            if len(counts) > 200_000:
                 yield done()
-                first.clear()
-                all_.clear()
+                counts.clear()
         yield done()
 
-    counts = documents.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "word string, first bigint, uses bigint")
-    sums = counts.groupBy("word").agg(F.sum("first").alias("first"), F.sum("uses").alias("uses"))
-    return frozenset(r[0] for r in sums.where((F.col("first") >= _OPENINGS) & (F.col("first") >= F.lit(_OPENING_SHARE) * F.col("uses"))).select("word").collect())
+    parts = documents.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "side string, key string, shape string, edge bigint, inside bigint, plain bigint")
+    at_marks = F.col("edge") + F.col("inside")
+    often = at_marks / F.when(F.col("side") == "begins", F.greatest(at_marks, "plain")).otherwise(at_marks + F.col("plain"))
+    sums = parts.groupBy("side", "key", "shape").agg(*[F.sum(c).alias(c) for c in names[3:]]).where("edge + inside > 0").withColumn(
+        "cls", F.when(F.col("key").startswith("<") | ((F.col("side") == "begins") & (F.col("shape") != "capital")), F.col("shape")).otherwise(F.concat_ws(
+            " ", "shape", F.when(F.col("side") == "ends", F.least(F.length("key"), F.lit(_LENGTHS)).cast("string")).otherwise(""),
+            F.when(often >= 0.9, "always").when(often >= 0.5, "often").otherwise("seldom"))))
+    sums = cut(sums)
+    total = sums.agg(F.sum(F.col("edge") + F.col("inside"))).first()[0] or 0
+    words = sums.where((F.col("edge") + F.col("inside")) >= F.lit(total * LEAST_SHARE)).select("side", "key", "shape", "edge", "inside", "cls")
+    classes = sums.select("side", F.explode(F.array_distinct(F.array("cls", "shape"))).alias("cls"), "edge", "inside").groupBy("side", "cls").agg(
+        F.sum("edge").alias("edge"), F.sum("inside").alias("inside")).select("side", F.lit("").alias("key"), F.lit("").alias("shape"), "edge", "inside", "cls")
+    return _stats([tuple(r) for r in words.unionByName(classes).collect()])
 
 
-def _features(c: Candidate) -> tuple:
-    return (("j", *c.joint()), ("m", c.mark, c.gap, c.after), ("b", c.mark, c.before, c.after), ("q", c.quote, c.after, c.mark), ("k", c.mark, c.quote), ("w", c.before), ("s", c.mark, c.gap, c.after in _STRONG, c.quote),
-            ("o", c.mark, c.before in _ORDINARY, c.gap, c.after, c.quote))
+def _joint(c: Candidate, stats: Stats) -> tuple:
+    """All that the model sees of a candidate."""
+    end, begin, sure = stats.shares(c)
+    return c.mark, c.before, c.gap, c.after, c.quote, bisect_right(_BOUNDS, end), bisect_right(_BOUNDS, begin), sure
+
+
+def _features(joint: tuple) -> tuple:
+    mark, before, gap, after, quote, end, begin, sure = joint
+    return (("e", end), ("b", begin), ("eb", end, begin), ("ea", end, after), ("bm", begin, mark), ("ebm", end, begin, mark), ("s", before, after), ("se", before, end, begin),
+            ("g", mark, gap, after), ("q", quote, begin), ("qe", quote, mark, end), ("m", mark), ("o", sure, after), ("oe", sure, end, begin))
+
+
+def _likely(c: Candidate, stats: Stats) -> bool:
+    """Label by the statistics alone: the odds of both sides."""
+    end, begin, sure = stats.shares(c)
+    if sure:
+        end, begin = max(end, _SURE), max(begin, _SURE)
+    end, begin = min(max(end, 0.01), 0.995), min(max(begin, 0.1 if c.after not in _NO_BEGIN else 0.01), 0.95)
+    return log(end / (1 - end)) + log(begin / (1 - begin)) > log(_PRIOR / (1 - _PRIOR))  # which both sides count
+
+
+_NO_BEGIN = ("lower", "comma", "dash", "other")  # shapes that as such begin no sentence
 
 
 @dataclass
 class Model:
-    """Weights of the features for B against I, of label pairs, and the opening words."""
+    """Weights of the features for B against I, of label pairs, and the statistics."""
 
     weights: dict
     pairs: dict
-    starters: frozenset
+    stats: Stats
     fitted: bool = True
     known: dict = field(default_factory=dict)  # emission of every combination met so far, once the weights are fixed
 
-    def decode(self, cands: list[Candidate]) -> list[bool]:
-        """Viterbi over the candidates of a unit."""
-        if not cands:
-            return []
-        w, pairs, known = self.weights, self.pairs, self.known if self.fitted else {}
-        best = {False: 0.0, True: pairs.get((None, True), 0.0)}
+    def emission(self, joint: tuple) -> float:
+        w, known = self.weights, self.known if self.fitted else {}
+        emit = known.get(joint)
+        if emit is None:
+            emit = known[joint] = sum(w.get(f, 0.0) for f in _features(joint))
+        return emit
+
+    def decode(self, joints: list[tuple], fixed: dict[int, bool] | None = None) -> list[bool]:
+        """Viterbi over the candidates of a unit; ``fixed`` are labels that are known."""
+        pairs = self.pairs
+        no_no, no_yes, yes_no, yes_yes = (pairs.get(k, 0.0) for k in ((False, False), (False, True), (True, False), (True, True)))
         ways = []
-        prev = None
-        for c in cands:
-            emit = known.get(joint := c.joint())
-            if emit is None:
-                emit = known[joint] = sum(w.get(f, 0.0) for f in _features(c))
-            if prev is None:
-                score, back = {False: 0.0, True: best[True] + emit}, {False: None, True: None}
+        no = yes = 0.0
+        for k, joint in enumerate(joints):
+            emit = self.emission(joint)
+            if not k:
+                no, yes, back = 0.0, pairs.get((None, True), 0.0) + emit, (False, False)
             else:
-                score, back = {}, {}
-                for y in (False, True):
-                    options = [(prev[x] + pairs.get((x, y), 0.0), x) for x in (False, True)]
-                    top = max(options)
-                    score[y], back[y] = top[0] + (emit if y else 0.0), top[1]
+                a, b, c, d = no + no_no, yes + yes_no, no + no_yes, yes + yes_yes
+                no, yes, back = max(a, b), max(c, d) + emit, (b > a, d > c)
+            if fixed and k in fixed:
+                no, yes = (-1e18, yes) if fixed[k] else (no, -1e18)
             ways.append(back)
-            prev = score
-        y = max((False, True), key=lambda v: prev[v])
-        labels = []
+        y, labels = yes > no, []
         for back in reversed(ways):
             labels.append(y)
             y = back[y]
         return labels[::-1]
 
 
-def train(texts: list[str], epochs: int = EPOCHS, starters: frozenset | None = None) -> Model:
-    """Averaged structured perceptron (Collins 2002) on the units of a sample; ``starters`` are its own opening words if not given."""
-    starters = opening_words(texts) if starters is None else starters
+def _joined(text: str) -> Iterator[tuple[Unit, set[int]]]:
+    """Units of a text run together, with the offsets of the joints."""
+    parts, joints, size = [], set(), 0
+    for u in [u for u in units(text) if not u.whole]:
+        if parts:
+            sep = "" if _CJK.match(u.text[0]) and parts[-1][-1] in _KINDS else " "
+            parts.append(sep)
+            joints.add(size)
+            size += len(sep)
+        parts.append(u.text)
+        size += len(u.text)
+    if parts:
+        yield Unit("".join(parts), [(0, 0)]), joints
+
+
+def train(texts: list[str], epochs: int = EPOCHS, stats: Stats | None = None) -> Model:
+    """Averaged structured perceptron (Collins 2002) with hidden labels; ``stats`` are the texts' own if not given."""
+    stats = text_stats(texts) if stats is None else stats
     seqs = []
     for t in texts:
-        for u in units(t):
-            if not u.whole:
-                bare = Unit(_CLUSTER.sub("", u.text), [(0, 0)]) if _UNMARKED.search(u.text) else None
-                for one in (u, bare) if bare else (u,):
-                    cands = [c for c in candidates(one, starters) if c.gap != "end"]
-                    if cands:
-                        seqs.append((cands, [rule(c) for c in cands]))
-    model = Model(defaultdict(float), defaultdict(float), starters, fitted=False)
+        for u, joints in _joined(t):
+            bare = Unit(_CLUSTER.sub("", u.text), [(0, 0)]) if _UNMARKED.search(u.text) else None
+            for one, ends in ((u, joints), (bare, set())) if bare else ((u, joints),):
+                cands = [c for c in candidates(one, stats) if c.gap != "end"]
+                if cands:
+                    fixed = {k: True for k, c in enumerate(cands) if c.end in ends}
+                    seqs.append(([_joint(c, stats) for c in cands], fixed, [k in fixed or _likely(c, stats) for k, c in enumerate(cands)]))
+    model = Model(defaultdict(float), defaultdict(float), stats, fitted=False)
     total_w, total_p, step = defaultdict(float), defaultdict(float), 1
-    for _ in range(epochs):
-        wrong = 0
-        for cands, gold in seqs:
-            got = model.decode(cands)
+    for epoch in range(epochs):
+        for joints, _, gold in seqs:
+            got = model.decode(joints)
             if got != gold:
-                wrong += 1
-                for c, g, h in zip(cands, gold, got):
+                for j, g, h in zip(joints, gold, got):
                     if g != h:
-                        for f in _features(c):
-                            d = 1.0 if g else -1.0
+                        d = 1.0 if g else -1.0
+                        for f in _features(j):
                             model.weights[f] += d
                             total_w[f] += step * d
                 for a, b in ((gold, 1.0), (got, -1.0)):
@@ -470,11 +573,12 @@ def train(texts: list[str], epochs: int = EPOCHS, starters: frozenset | None = N
                         model.pairs[(x, y)] += b
                         total_p[(x, y)] += step * b
             step += 1
-        if not wrong:
-            break
+        if epoch < epochs - 1:
+            mean = Model({f: v - total_w[f] / step for f, v in model.weights.items()}, {f: v - total_p[f] / step for f, v in model.pairs.items()}, stats)
+            seqs = [(joints, fixed, mean.decode(joints, fixed)) for joints, fixed, _ in seqs]
     weights = {f: v - total_w[f] / step for f, v in model.weights.items()}
     pairs = {f: v - total_p[f] / step for f, v in model.pairs.items()}
-    return Model(weights, pairs, starters)
+    return Model(weights, pairs, stats)
 
 
 def sentence_ends(text: str, model: Model) -> list[int]:
@@ -482,14 +586,15 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     out = []
     for u in units(text):
         if not u.whole:
-            cands = [c for c in candidates(u, model.starters) if c.gap != "end"]
-            out += [u.end(c.end) for c, b in zip(cands, model.decode(cands)) if b]
+            cands = [c for c in candidates(u, model.stats) if c.gap != "end"]
+            if cands:
+                out += [u.end(c.end) for c, b in zip(cands, model.decode([_joint(c, model.stats) for c in cands])) if b]
         out.append(u.end(len(u.text)))
     return out
 
 
 def fit(documents: DataFrame, text: str = "text", key: str = "doc_id", docs: int = TRAIN_DOCS) -> Model:
-    """Model trained on at most ``docs`` documents, those with the smallest hash of their key; opening words are
+    """Model trained on at most ``docs`` documents, those with the smallest hash of their key; the statistics are
     those of all documents.
 
     Only a share of the rows that is expected to hold a few times as many is ordered, so the sample costs
@@ -498,7 +603,7 @@ def fit(documents: DataFrame, text: str = "text", key: str = "doc_id", docs: int
     rows = documents.where(F.col(text).isNotNull() & (F.trim(text) != ""))
     share = min(1.0, 4.0 * docs / max(1, documents.count()))
     unit = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
-    return train([r[0] for r in rows.where(unit < share + 1e-9).orderBy(F.xxhash64(key), key).limit(docs).select(text).collect()], starters=table_opening_words(rows, text))
+    return train([r[0] for r in rows.where(unit < share + 1e-9).orderBy(F.xxhash64(key), key).limit(docs).select(text).collect()], stats=table_stats(rows, text))
 
 
 def split_sentences(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

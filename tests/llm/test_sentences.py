@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 
 from tallyforge.llm import sentences as S
@@ -27,7 +28,9 @@ CASES = [
 
 @pytest.fixture(scope="module")
 def model():
-    return S.train([c.replace("|", "") for c in CASES] * 3, epochs=12)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    # an abbreviation of the cases that the documents do not use
+    return S.train(texts + [f"See No. {i} of the list. It is long." for i in range(40)])
 
 
 @pytest.mark.parametrize("case", CASES)
@@ -44,17 +47,20 @@ def test_viterbi_equals_enumeration(model):
     import itertools
 
     u = next(S.units("A b. C d! E f etc. g. H? I."))
-    cands = [c for c in S.candidates(u, model.starters) if c.gap != "end"]
+    joints = [S._joint(c, model.stats) for c in S.candidates(u, model.stats) if c.gap != "end"]
 
     def score(labels):
         out, prev = 0.0, None
-        for c, y in zip(cands, labels):
-            out += model.pairs.get((prev, y), 0.0) * (prev is not None or y) + (sum(model.weights.get(f, 0.0) for f in S._features(c)) if y else 0.0)
+        for j, y in zip(joints, labels):
+            out += model.pairs.get((prev, y), 0.0) * (prev is not None or y) + (sum(model.weights.get(f, 0.0) for f in S._features(j)) if y else 0.0)
             prev = y
         return out
 
-    best = max(itertools.product((False, True), repeat=len(cands)), key=score)
-    assert score(model.decode(cands)) == pytest.approx(score(best))
+    best = max(itertools.product((False, True), repeat=len(joints)), key=score)
+    assert score(model.decode(joints)) == pytest.approx(score(best))
+    fixed = {1: False, 2: True}
+    held = max((y for y in itertools.product((False, True), repeat=len(joints)) if all(y[k] == v for k, v in fixed.items())), key=score)
+    assert score(model.decode(joints, fixed)) == pytest.approx(score(held))
 
 
 def test_offsets_with_line_ends_and_prefixes(model):
@@ -65,10 +71,11 @@ def test_offsets_with_line_ends_and_prefixes(model):
     assert S.sentence_ends("```\nnever closed.\n", model) == [17]
 
 
-def test_table(spark):
+def test_table(spark, model):
     rows = [(1, "One. Two!"), (1, "One. Two!"), (2, None), (3, ""), (None, "Alone"), (4, "Word. " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "7 as end_char", "'x' as sentence")
-    out = S.split_sentences(df, S.fit(df))
+    out = S.split_sentences(df, model)
+    assert S.split_sentences(df, S.fit(df)).where("doc_id = 4").count() >= 1
     got = [(r.doc_id, r.end_char) for r in out.where("doc_id = 1 or doc_id is null").collect()]
     assert sorted(got, key=str) == sorted([(1, 4), (1, 9)] * 2 + [(None, 5)], key=str)
     assert out.where("doc_id = 4").count() == 20_000
@@ -76,10 +83,30 @@ def test_table(spark):
     assert S.split_sentences(empty, S.fit(empty)).count() == 0
 
 
-def test_opening_words_of_all_documents(spark):
-    texts = [f"copper-api waits … lumen{i % 9} ends the {i}th run. Then copper-api stops." for i in range(60)] + [f"lumen{i % 9} begins." for i in range(30)]
+def test_statistics_of_all_documents(spark):
+    texts = [f"copper-api waits … lumen{i % 9} ends the {i}th run, approx. {i} rows. Then copper-api stops." for i in range(60)] + [f"copper-api begins no. {i}." for i in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (99, " ")], "doc_id bigint, text string").repartition(4)
-    model = S.fit(df, docs=1)
-    assert model.starters == S.opening_words(texts) and {"copper-api", "lumen3"} <= model.starters
-    # a class that only the statistics of the other documents show
-    assert [c.after for c in S.candidates(next(S.units("It waits … copper-api ends.")), model.starters) if c.gap != "end"] == ["starter"]
+    stats, own = S.fit(df, docs=1).stats, S.text_stats(texts)
+    assert (stats.ends, stats.begins, stats.ratio) == (own.ends, own.begins, own.ratio)
+    assert {k: round(v, 9) for k, v in stats.classes.items()} == {k: round(v, 9) for k, v in own.classes.items()}
+    assert stats.ends["approx", "word"][:2] == (0, 60) and stats.opens("copper-api") and not stats.opens("lumen")
+
+
+def test_joints_of_held_out_documents(spark):
+    """Units of texts that the model has not seen, run together: their ends are boundaries, and inner marks before lower case mostly none."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    texts = [t for t in table if t]
+    model = S.train(texts[::2])
+    hits = ends = 0
+    for t in texts[1::2]:
+        for u, joints in S._joined(t):
+            got = set(S.sentence_ends(u.text, model))
+            marked = {c.end for c in S.candidates(u, model.stats)} & joints
+            hits, ends = hits + len(got & marked), ends + len(marked)
+    assert ends > 2_000 and hits / ends > 0.99
+
+
+def test_long_words_and_addresses(model):
+    long = "a/" * 5_000 + "end"
+    assert S.sentence_ends(f"It reads {long}. Then it stops.", model) == [len(long) + 10, len(long) + 25]
+    assert len(S.sentence_ends("A.B" * 20_000, model)) >= 1
