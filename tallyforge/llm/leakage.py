@@ -368,5 +368,46 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item: str
     return out.groupBy(key, item).agg(F.max("windows").alias("windows"), F.max("similarity").alias("similarity"))
 
 
+_EVERY = 40  # words (letters of zh and ja items) of which one is edited
+
+
+def _edited(tokens: list, kind: str, every: int) -> list:
+    """Tokens with one in ``every`` replaced, dropped or swapped with the one after it."""
+    out = list(tokens)
+    for k in range(every // 2, len(tokens), every)[::-1]:
+        if kind == "replace":
+            out[k] = "qzx" if len(out[k]) > 1 else "々"
+        elif kind == "drop":
+            del out[k]
+        elif k + 1 < len(out):
+            out[k], out[k + 1] = out[k + 1], out[k]
+    return out
+
+
+def edit_recall(items: DataFrame, item: str = "item_id", text: str = "text", lang: str = "lang", every: int = _EVERY, min_similarity: float = SIMILARITY) -> DataFrame:
+    """``(kind, planted, similar, found)``: edited copies of all items, how many are as similar to their item as ``min_similarity``
+    by a comparison of the whole texts, and how many of those ``leaks`` finds, by kind of edit. Copies that still hold an equal
+    passage count, too."""
+    by_char = F.lower(F.trim(F.coalesce(lang, F.lit("")))).rlike("^(" + "|".join(_CHAR_LANGS) + ")")
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("replace", "drop", "swap")])).alias("kind")
+    known = items.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).alias("i"), F.col(text).alias("t"), by_char.alias("c"), kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, close = [], []
+            for t, c, kind in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                ts = words(plain(t))
+                ts = list("".join(ts)) if c else ts
+                other = _edited(ts, kind, every)
+                made.append(("" if c else " ").join(other))
+                close.append(len(ts) >= (CHARS if c else WORDS) and similarity(ts, other) >= min_similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(made, pa.string()), pa.array(close, pa.bool_())], names=["i", "kind", "text", "similar"])
+
+    planted = known.mapInArrow(run, f"i {dict(items.dtypes)[item]}, kind string, text string, similar boolean").withColumn("doc", F.xxhash64("i", "kind"))
+    hits = leaks(planted, items, "doc", item, "text", lang).select("doc", F.col(item).alias("i"), F.lit(True).alias("hit"))
+    return planted.join(hits, ["doc", "i"], "left").groupBy("kind").agg(
+        F.count(F.lit(1)).alias("planted"), F.count_if("similar").alias("similar"), F.count_if(F.col("similar") & F.coalesce("hit", F.lit(False))).alias("found"))
+
+
 def _arrow_type(name: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]

@@ -24,6 +24,11 @@ def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("windows") > 0).alias("exact_docs"), F.count_if(F.col("windows") == 0).alias("near_docs"), F.max("windows").alias("most_windows"))
 
 
+def p7_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of near passages: edited copies of all items, by kind of edit, against a comparison of every pair of texts."""
+    return leakage.edit_recall(table(spark, sf, "eval_items"))
+
+
 def _planned(spark: SparkSession, sf: str, counted: DataFrame) -> DataFrame:
     sizes = cut(mixing.leaf_sizes(counted))  # used twice, and counting tokens is what costs
     return mixing.plan(table(spark, sf, "mix_targets"), sizes)
@@ -51,6 +56,12 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(*_mixed(spark, sf))
 
 
+def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Budgets of the languages within the sources of every mix: by weight alone, and after shortages were passed on."""
+    return _mixed(spark, sf)[0].groupBy("mix_id", "source_label", "lang").agg(
+        F.sum("tokens").alias("tokens"), F.sum("entitled").alias("entitled_tokens"), F.sum("leaf_budget").alias("planned_tokens"))
+
+
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return sentences.split_sentences(docs, sentences.fit(docs))
@@ -67,7 +78,7 @@ def p9_lengths(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("sentences"), F.max(F.length("sentence")).alias("longest"), F.round(F.avg(F.length("sentence")), 6).alias("mean_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_leaked_items, p8_found, p8_mix, p8_report, p9_found, p9_lengths)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_leaked_items, p7_recall, p8_found, p8_mix, p8_report, p8_languages, p9_found, p9_lengths)}
 # sizes in characters: no case of this query depends on the tokenizer
 ORACLE = {"p8_found": r"""
 with d as (select nullif(regexp_replace(lower(source), '[\s_-]', '', 'g'), '') as k, length(text) as n from documents),

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import log
@@ -369,28 +369,44 @@ def _word_class(side: str, key: str, shape: str, dotted: int, plain: int) -> str
 _WORDS = re.compile(r"[^\s!?,;:。！？，।؟()\[\]“”„«»\"]+")
 
 
-def _count_units(texts: Iterable[str], counts: dict) -> None:
-    """Adds the occurrences at edges of units, at marks within them, and of plain words to ``counts[(side, key, shape)]``."""
-    blank = Stats()
-    for t in texts:
-        for u in units(t):
-            if u.whole:
-                continue
-            for c in candidates(u, blank):
-                k = counts[("ends", c.left, c.before)]
-                k[0 if c.gap == "end" else 1] += 1
-                if c.gap != "end":
-                    counts[("begins", c.right, "lower" if c.after == "starter" else c.after)][1] += 1
-            gap, kind, key = ("space", "unmarked", "<unmarked>") if _UNMARKED.match(u.text) else _right(u.text, 0, blank)
-            if key:
-                counts[("begins", key, "lower" if kind == "starter" else kind)][0] += 1
-            for w in _WORDS.findall(u.text):
-                if not w.endswith(".") and len(w) <= _LONG:
-                    shape, key = _left(w)
-                    if not key.startswith("<"):
-                        counts[("ends", key, shape)][2] += 1
-                if w[0].isupper() and w[1:2].islower() and (w := w.rstrip(".")).isalpha():
-                    counts[("begins", w, "capital")][2] += 1  # all uses; those at marks are taken off below
+class _Counts:
+    """Occurrences of words at edges of units, at marks within them, and anywhere."""
+
+    def __init__(self) -> None:
+        self.edge, self.inside, self.words = Counter(), Counter(), Counter()
+
+    def add(self, texts: Iterable[str]) -> None:
+        blank = Stats()
+        edge, inside, words = [], [], self.words
+        for t in texts:
+            for u in units(t):
+                if u.whole:
+                    continue
+                for c in candidates(u, blank):
+                    if c.gap == "end":
+                        edge.append(("ends", c.left, c.before))
+                    else:
+                        inside.append(("ends", c.left, c.before))
+                        inside.append(("begins", c.right, c.after))
+                _, kind, key = ("", "unmarked", "<unmarked>") if _UNMARKED.match(u.text) else _right(u.text, 0, blank)
+                if key:
+                    edge.append(("begins", key, kind))
+                words.update(_WORDS.findall(u.text))
+        self.edge.update(edge)
+        self.inside.update(inside)
+
+    def rows(self) -> Iterator[tuple]:
+        """(side, key, shape, occurrences at edges, at marks within units, and without a mark)"""
+        plain = Counter()
+        for w, n in self.words.items():
+            if not w.endswith(".") and len(w) <= _LONG:
+                shape, key = _left(w)
+                if not key.startswith("<"):
+                    plain["ends", key, shape] += n
+            if w[0].isupper() and w[1:2].islower() and (w := w.rstrip(".")).isalpha():
+                plain["begins", w, "capital"] += n  # all uses; those at marks are taken off later
+        for k in self.edge.keys() | self.inside.keys() | plain.keys():
+            yield *k, self.edge[k], self.inside[k], plain[k]
 
 
 def _stats(rows: Iterable[tuple]) -> Stats:
@@ -418,10 +434,10 @@ def _stats(rows: Iterable[tuple]) -> Stats:
 
 def text_stats(texts: Iterable[str]) -> Stats:
     """``Stats`` of texts in memory."""
-    counts: dict = defaultdict(lambda: [0, 0, 0])
-    _count_units(texts, counts)
+    counts = _Counts()
+    counts.add(texts)
     rows, sums = [], defaultdict(lambda: [0, 0])
-    for (side, key, shape), (edge, inside, plain) in counts.items():
+    for side, key, shape, edge, inside, plain in counts.rows():
         plain = max(plain - edge - inside, 0) if side == "begins" else plain
         cls = _word_class(side, key, shape, edge + inside, plain)
         if edge + inside:
@@ -437,17 +453,17 @@ def table_stats(documents: DataFrame, text: str = "text") -> Stats:
     names = ["side", "key", "shape", "edge", "inside", "plain"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict = defaultdict(lambda: [0, 0, 0])
+        counts = _Counts()
 
         def done() -> pa.RecordBatch:
-            cols = list(zip(*((*k, *v) for k, v in counts.items()))) or [[]] * 6
+            cols = list(zip(*counts.rows())) or [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(cols)], names=names)
 
         for batch in batches:
-            _count_units((t for t in batch.column(0).to_pylist() if t), counts)
-            if len(counts) > 200_000:
+            counts.add(t for t in batch.column(0).to_pylist() if t)
+            if len(counts.words) + len(counts.inside) > 200_000:
                 yield done()
-                counts.clear()
+                counts = _Counts()
         yield done()
 
     parts = documents.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "side string, key string, shape string, edge bigint, inside bigint, plain bigint")

@@ -90,3 +90,14 @@ def test_near_passages_equal_brute_force(spark):
     assert got == want and sum(r.windows == 0 for r in out) >= 5
     found = L.leaks(*frames(spark, docs, [("en", i) for i in items]), near=False).where("windows = 0").count()
     assert found < sum(r.windows == 0 for r in out)
+
+
+def test_recall_of_edited_items(spark):
+    rng = random.Random(4)
+    en = [(i, "en", " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(90))) for i in range(12)]
+    zh = [(100 + i, "zh", "".join(rng.choices("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出", k=150))) for i in range(6)]
+    df = spark.createDataFrame([*en, *zh, (200, "en", "too short"), (201, None, None), (202, "en", "")], "item_id bigint, lang string, text string")
+    got = {r.kind: r for r in L.edit_recall(df).collect()}
+    assert set(got) == {"replace", "drop", "swap"} and all(r.planted == 20 and r.found == r.similar for r in got.values())
+    assert got["drop"].similar >= 10
+    assert L.edit_recall(df.where("false")).count() == 0

@@ -54,10 +54,36 @@ def test_empty_tables(spark):
 
 def test_tree_passes_shortage_to_siblings_before_ancestors():
     leaves = pd.DataFrame({"dom": ["x", "x", "y"], "src": ["a", "b", "c"], "weight_dom": [1, 1, 1], "weight_src": [1, 1, 1], "capacity": [10.0, 100.0, 100.0]})
-    got = M.solve_tree(100, leaves, ("dom", "src"))
+    got = M.solve_tree(100, leaves, ("dom", "src"))["leaf_budget"]
     assert got.round(6).tolist() == [10, 40, 50]
     leaves["capacity"] = [10.0, 20.0, 100.0]
-    assert M.solve_tree(100, leaves, ("dom", "src")).round(6).tolist() == [10, 20, 70]
+    assert M.solve_tree(100, leaves, ("dom", "src"))["leaf_budget"].round(6).tolist() == [10, 20, 70]
+
+
+def test_language_that_runs_dry_passes_to_its_siblings(spark):
+    docs = [(i, "a", "en", 10) for i in range(100)] + [(200 + i, "a", "th", 10) for i in range(4)] + [(300 + i, "b", "en", 10) for i in range(100)]
+    p, s, r = run(spark, docs, [(1, "a", 1.0, 1, 0.6), (1, "b", 1.0, 1, 0.6)])
+    leaf = {(x.source_label, x.lang): x for x in p.collect()}
+    thai = leaf["a", "th"]
+    assert thai.entitled > thai.leaf_budget == 40  # weighs 40 ** 0.7, holds 40
+    moved = thai.entitled - 40
+    assert leaf["a", "en"].leaf_budget == pytest.approx(leaf["a", "en"].entitled + moved) and leaf["b", "en"].leaf_budget == pytest.approx(leaf["b", "en"].entitled)
+    assert {x.source_label: round(x.moved_tokens - (moved if x.source_label == "a" else 0), 6) for x in r.collect()} == {"a": 0, "b": 0}
+
+
+def test_origins(spark):
+    d = spark.createDataFrame([(i, "a", "en", 10, f"t{i % 3}") for i in range(90)], DOCS + ", harness string")
+    p = M.plan(spark.createDataFrame([(1, "a", 1.0, 1, 0.5)], TARGETS), M.leaf_sizes(d))
+    assert sorted((x.origin, round(x.leaf_budget)) for x in p.collect()) == [("t0", 150), ("t1", 150), ("t2", 150)]
+    assert M.select_documents(d, p).agg({"tokens": "sum"}).first()[0] == 450
+
+
+@pytest.mark.parametrize("unit", ["word  \n\n don't 12ab34 ", "漢字かな。", "abcdefgh", "a1\t\t'll ", "🙂é "])
+def test_long_texts_count_as_in_one_piece(unit, monkeypatch):
+    text = unit * 300
+    whole = M.count_tokens(text)
+    monkeypatch.setattr(M, "_PIECE", 37)
+    assert M.count_tokens(text) == whole
 
 
 def test_counting(spark):
