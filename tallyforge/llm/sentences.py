@@ -27,6 +27,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log
 
 import pyarrow as pa
@@ -113,6 +114,12 @@ def units(text: str) -> Iterator[Unit]:
                 break
             last_full = at + len(line.rstrip()) if line.strip() else last_full
             continue
+        bare = line.lstrip()
+        if bare[:1].isalpha():  # no prefix, fence, heading or item begins so
+            lines.append((bare, at + len(line) - len(bare)))
+            if m.end() == len(text) and not m.group(2):
+                break
+            continue
         pre = _PREFIX.match(line)
         skip = pre.end() if pre else 0
         body = line[skip:]
@@ -196,6 +203,7 @@ def _mark_class(run: str, cjk: bool) -> str:
     return "dot" if last in ".．" else _KINDS.get(last, "bang")
 
 
+@lru_cache(100_000)
 def _left(word: str) -> tuple[str, str]:
     """(shape, key) of the word before a full stop."""
     w = word.lstrip(_EDGE)
@@ -220,6 +228,17 @@ def _left(word: str) -> tuple[str, str]:
     return ("dotted" if "." in w else "word"), w.lower()
 
 
+@lru_cache(100_000)
+def _opening(word: str) -> tuple[str, str]:
+    """(shape, key) of a word behind a mark."""
+    c = word[0]
+    word = (_TRAILING.split(word, 1)[0] if word[-1] in "*_`~'’>" else word) or c
+    named = any(x.isdigit() for x in word)
+    if c.isupper() or c.istitle():
+        return ("capital" if word[1].islower() else "upper") if len(word) > 1 else "single", "<Named>" if named else word
+    return "caseless" if c.lower() == c.upper() else "lower", "<named>" if named else word
+
+
 def _right(s: str, i: int, stats: Stats) -> tuple[str, str, str]:
     """(gap, shape, key) of what follows position ``i``."""
     j, n = i, len(s)
@@ -234,14 +253,10 @@ def _right(s: str, i: int, stats: Stats) -> tuple[str, str, str]:
     if c.isalpha():
         if _CJK.match(c):
             return gap, "cjk", s[j:j + 2]
-        word = _WORD_AFTER.match(s, j).group()
-        word = (_TRAILING.split(word, 1)[0] if word[-1] in "*_`~'’>" else word) or c
-        key = "<named>" if any(x.isdigit() for x in word) else word
-        if c.isupper() or c.istitle():
-            return gap, "capital" if (word[1].islower() if len(word) > 1 else gap == "space") else "upper", key if key is word else "<Named>"
-        if c.lower() == c.upper():
-            return gap, "caseless", key
-        return gap, "starter" if stats.opens(key) else "lower", key
+        kind, key = _opening(_WORD_AFTER.match(s, j).group())
+        if kind == "single":
+            kind = "capital" if gap == "space" else "upper"
+        return gap, "starter" if kind == "lower" and stats.opens(key) else kind, key
     if c.isdigit():
         return gap, "digit", "<digit>"
     kind = "open" if c in "“«„「『‘\"(（[‹《" else "inverted" if c in "¿¡" else "comma" if c in ",;:，、；：،؛" else "dash" if c in "—–-" else "other"
@@ -285,8 +300,7 @@ def candidates(u: Unit, stats: Stats) -> list[Candidate]:
                 i = k + 1
             else:
                 break
-        around = [p for p in pairs if p[0] < at and p[1] >= i]
-        if around and not all(alone[a] for a, _ in around):
+        if pairs and any(a < at and b >= i and not alone[a] for a, b in pairs):
             continue  # a sentence within a sentence ends nothing
         gap, kind, right = _right(s, i, stats)
         quote = "out"
@@ -302,7 +316,7 @@ def candidates(u: Unit, stats: Stats) -> list[Candidate]:
         else:
             shape, left = "-", f"<{mark} {quote}>"
         out.append(Candidate(i, mark, shape, gap, kind, quote, left, right))
-    if _UNMARKED.search(s):
+    if not s.isascii() and _UNMARKED.search(s):
         for m in _BLANK_END.finditer(s):
             if not any(a < m.start() < b for a, b in pairs):
                 out.append(Candidate(m.start(), "blank", "-", "space", "unmarked", "out", "<blank>", "<unmarked>"))
@@ -377,7 +391,7 @@ class _Counts:
 
     def add(self, texts: Iterable[str]) -> None:
         blank = Stats()
-        edge, inside, words = [], [], self.words
+        edge, inside, tokens = [], [], []
         for t in texts:
             for u in units(t):
                 if u.whole:
@@ -391,9 +405,10 @@ class _Counts:
                 _, kind, key = ("", "unmarked", "<unmarked>") if _UNMARKED.match(u.text) else _right(u.text, 0, blank)
                 if key:
                     edge.append(("begins", key, kind))
-                words.update(_WORDS.findall(u.text))
+                tokens += _WORDS.findall(u.text)
         self.edge.update(edge)
         self.inside.update(inside)
+        self.words.update(tokens)
 
     def rows(self) -> Iterator[tuple]:
         """(side, key, shape, occurrences at edges, at marks within units, and without a mark)"""
