@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.runtime import ship
+from tallyforge.sources.wal import with_log
 
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 _ZSTD = b"\x28\xb5\x2f\xfd"
@@ -65,10 +66,48 @@ def read_documents(spark: SparkSession, path: str | list[str], glob: str | None
     return _files(spark, path, glob).mapInArrow(run, "source_path string, line string")
 
 
+_SIDE = r"-(wal|shm|journal)$"  # files beside a database
+
+
+def _databases(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
+    """``source_path, content, log`` of every database, with the write-ahead log that lies beside it."""
+    files = _files(spark, path, glob).where(~F.col("source_path").rlike(_SIDE))
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    folders = []
+    for one in [path] if isinstance(path, str) else path:
+        here = jvm.org.apache.hadoop.fs.Path(one)
+        fs = here.getFileSystem(conf)
+        if fs.exists(here) and fs.getFileStatus(here).isFile():  # a single file: its log is named, not searched
+            beside = jvm.org.apache.hadoop.fs.Path(one + "-wal")
+            folders += [one + "-wal"] if fs.exists(beside) else []
+        else:
+            folders.append(one)
+    if not folders:
+        return files.withColumn("log", F.lit(None).cast("binary"))
+    logs = _files(spark, folders, (glob or "*") + "-wal").select(F.regexp_replace("source_path", "-wal$", "").alias("source_path"), F.col("content").alias("log"))
+    return files.join(logs, "source_path", "left")
+
+
+def _query(raw: bytes, log: bytes | None, table: str, columns: list[str]) -> Iterator[list[tuple]]:
+    """Blocks of rows of a table, its rowid first; raises ``sqlite3.DatabaseError`` if the file is none."""
+    con = sqlite3.connect(":memory:")
+    try:
+        con.deserialize(with_log(raw, log))
+        have = {r[1] for r in con.execute(f'PRAGMA table_info("{table}")')}
+        if have:
+            picked = ", ".join(["rowid", *(f'"{c}"' if c in have else "NULL" for c in columns)])
+            cursor = con.execute(f'SELECT {picked} FROM "{table}" ORDER BY rowid')
+            while rows := cursor.fetchmany(10_000):
+                yield rows
+    finally:
+        con.close()
+
+
 def read_sqlite(spark: SparkSession, path: str | list[str], table: str, columns: dict[str, str], glob: str | None = None) -> DataFrame:
     """Rows of one table of every SQLite file: ``source_path, rowid`` and the wanted columns with their Spark types.
 
-    Columns and tables that a file does not have are null or empty; files that are no database have no rows.
+    Transactions that are committed but still in a write-ahead log (``-wal``) count. Columns and tables that a file does not have
+    are null or empty; rows up to the place where a file is damaged are kept, and ``sqlite_outcomes`` reports it.
     Numbers that SQLite holds as text are cast where they can be.
     """
     schema = "source_path string, rowid bigint, " + ", ".join(f"`{c}` {t}" for c, t in columns.items())
@@ -85,20 +124,36 @@ def read_sqlite(spark: SparkSession, path: str | list[str], table: str, columns:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows: list = []
-                con = sqlite3.connect(":memory:")
+            for p, raw, log in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                blocks = _query(raw, log, table, list(columns))
+                while True:
+                    try:
+                        rows = next(blocks, None)
+                    except sqlite3.DatabaseError:
+                        rows = None
+                    if rows is None:
+                        break
+                    cols = [pa.array([value(r[k], t) for r in rows], _ARROW[t]) for k, t in enumerate(columns.values(), 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), *cols], names=["source_path", "rowid", *columns])
+
+    return _databases(spark, path, glob).mapInArrow(run, schema)
+
+
+def sqlite_outcomes(spark: SparkSession, path: str | list[str], table: str, glob: str | None = None) -> DataFrame:
+    """``source_path, reason, rows`` of every file: ``ok``, ``empty``, ``unsupported_schema`` (no such table), ``partial`` (damaged after some
+    rows) or ``corrupt``, for ``sinks.diagnose``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p, raw, log in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                n = 0
                 try:
-                    con.deserialize(raw)
-                    have = {r[1] for r in con.execute(f'PRAGMA table_info("{table}")')}
-                    if have:
-                        picked = ", ".join(f'"{c}"' if c in have else "NULL" for c in columns)
-                        rows = con.execute(f'SELECT rowid, {picked} FROM "{table}" ORDER BY rowid').fetchall()
+                    for rows in _query(raw, log, table, []):
+                        n += len(rows)
+                    there = n or any(r[1] == table for rows in _query(raw, log, "sqlite_master", ["name"]) for r in rows)
+                    out.append((p, "ok" if n else "empty" if there else "unsupported_schema", n))
                 except sqlite3.DatabaseError:
-                    rows = []
-                finally:
-                    con.close()
-                cols = [pa.array([value(r[k], t) for r in rows], _ARROW[t]) for k, t in enumerate(columns.values(), 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), *cols], names=["source_path", "rowid", *columns])
+                    out.append((p, "partial" if n else "corrupt", n))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], names=["source_path", "reason", "rows"])
 
-    return _files(spark, path, glob).mapInArrow(run, schema)
+    return _databases(spark, path, glob).mapInArrow(run, "source_path string, reason string, rows bigint")

@@ -6,7 +6,7 @@ import pytest
 
 from tallyforge.schema import EVENT
 from tallyforge.sources.dialects import READERS
-from tallyforge.sources.files import read_documents, read_lines, read_sqlite
+from tallyforge.sources.files import read_documents, read_lines, read_sqlite, sqlite_outcomes
 from tallyforge.sources.ledgers import LEDGERS, claude_desktop, wire_fields
 
 CLASSES = ("input", "output", "cache_read", "cache_write", "reasoning")
@@ -142,17 +142,70 @@ def test_documents(spark, tmp_path):
     assert classes(got["codebuff:chat:1"]) == (6, 3, 4, 0, 0) and got["codebuff:chat:2"].bill_amount == 3 and classes(got["codebuff:chat:3"]) == (9, 0, 4, 0, 0) and got["codebuff:chat:3"].model == "hm"
 
 
+WRITERS = []  # connections that keep their rows in the write-ahead log
+
+
 def db(folder, name, script, *params):
     os.makedirs(folder, exist_ok=True)
     con = sqlite3.connect(os.path.join(folder, name))
+    if WRITERS:
+        assert con.execute("pragma journal_mode=wal").fetchone() == ("wal",)
+        con.execute("pragma wal_autocheckpoint=0")
     con.executescript(script)
     for sql, args in params:
         con.execute(sql, args)
     con.commit()
-    con.close()
+    if WRITERS:
+        WRITERS.append(con)
+        assert os.path.getsize(os.path.join(folder, name + "-wal")) > 0
+    else:
+        con.close()
     return str(folder)
 
 
+@pytest.fixture(params=["plain", "wal"])
+def journal(request):
+    if request.param == "wal":
+        WRITERS.append(None)
+    yield
+    while WRITERS:
+        if con := WRITERS.pop():
+            con.close()
+
+
+def test_write_ahead_log(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "a.db")
+    con.execute("pragma journal_mode=wal")
+    con.execute("pragma wal_autocheckpoint=0")
+    con.execute("create table t (x, y)")
+    con.executemany("insert into t values (?, ?)", [(i, "é" * 300) for i in range(500)])
+    con.commit()
+    con.execute("pragma wal_checkpoint(truncate)")
+    con.execute("update t set y = 'new' where x < 10")
+    con.execute("delete from t where x >= 450")
+    con.commit()
+    con.execute("pragma cache_size=1")
+    con.execute("update t set y = 'open'")  # written to the log, not committed
+    read = lambda path: sorted((r.x, r.y) for r in read_sqlite(spark, str(path), "t", {"x": "bigint", "y": "string"}).collect())
+    want = [(i, "new" if i < 10 else "é" * 300) for i in range(450)]
+    assert read(tmp_path) == want and read(tmp_path / "a.db") == want
+    log = (tmp_path / "a.db-wal").read_bytes()
+    (tmp_path / "copy").mkdir()
+    (tmp_path / "copy" / "a.db").write_bytes((tmp_path / "a.db").read_bytes())
+    (tmp_path / "copy" / "a.db-wal").write_bytes(log[:32] + b"\0" * 24 + log[56:])  # a torn first frame: the state before
+    assert read(tmp_path / "copy") == [(i, "é" * 300) for i in range(500)]
+    con.close()
+
+
+def test_outcomes_of_databases(spark, tmp_path):
+    db(tmp_path, "a.db", "create table t (x); insert into t values (1);")
+    db(tmp_path, "b.db", "create table t (x);")
+    db(tmp_path, "c.db", "create table u (x);")
+    (tmp_path / "d.db").write_text("no database at all, but long enough to be looked at")
+    got = {r.source_path[-4:]: (r.reason, r.rows) for r in sqlite_outcomes(spark, str(tmp_path), "t").collect()}
+    assert got == {"a.db": ("ok", 1), "b.db": ("empty", 0), "c.db": ("unsupported_schema", 0), "d.db": ("corrupt", 0)}
+
+
 def test_sqlite_reader_is_lenient(spark, tmp_path):
     db(tmp_path, "a.db", "create table t (x, y); insert into t values ('7', 'b'), ('z', null);")
     (tmp_path / "b.db").write_text("no database")
@@ -161,7 +214,7 @@ def test_sqlite_reader_is_lenient(spark, tmp_path):
     assert read_sqlite(spark, str(tmp_path), "none", {"x": "bigint"}).count() == 0
 
 
-def test_ledgers(spark, tmp_path):
+def test_ledgers(spark, journal, tmp_path):
     data = json.dumps({"role": "assistant", "modelID": "m", "providerID": "p", "cost": "0.5", "time": {"created": 1767323045000}, "tokens": {"input": 3, "output": 2, "cache": {"read": 1}}})
     o = db(tmp_path / "o", "o.db", "create table message (id, session_id, time_updated, data); create table session (id, parent_id, directory); insert into session values ('s', 'up', '/a/b');", ("insert into message values ('x','s',1767323045000,?)", (data,)), ("insert into message values ('y','s',1,?)", ("null",)))
     r = rows(LEDGERS["opencode"](spark, o))["opencode:x"]
@@ -191,7 +244,7 @@ def test_ledgers(spark, tmp_path):
     assert classes(got["trae:t1"]) == (6, 0, 4, 0, 5) and got["trae:t1"].project == "/abs" and len(got) == 1
 
 
-def test_zed_and_antigravity(spark, tmp_path):
+def test_zed_and_antigravity(spark, journal, tmp_path):
     import zstandard
 
     doc = json.dumps({"model": {"provider": "p", "model": "m"}, "request_token_usage": {"q1": {"input_tokens": 3, "output_tokens": 1}}, "cumulative_token_usage": {"input_tokens": 10, "output_tokens": 1}})
