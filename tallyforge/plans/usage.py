@@ -710,20 +710,11 @@ def runway(spark, sf):
     return day.withColumn("rn", F.row_number().over(w)).where("rn <= 7").groupBy("o_custkey").agg(F.round(100_000 / F.avg("used"), 4).alias("runway"))
 
 
-@query(_with("""select a.delivery_id, round(sum(b.output) / 60.0, 6) as rate from d a join d b on b.received_at > a.received_at - interval 60 second and b.received_at <= a.received_at
- where a.received_at >= timestamp '2026-08-25' and b.received_at >= timestamp '2026-08-24' group by 1""", only_d=True))
-def trailing_rate_batch(spark, sf):
-    from tallyforge.streaming.rate import trailing_rate
-
-    d = deliveries(spark, sf).where("received_at >= timestamp '2026-08-24'").select("delivery_id", "received_at", "output")
-    return trailing_rate(d, "received_at", "output", 60).where("received_at >= timestamp '2026-08-25'").select("delivery_id", "rate")
-
-
 # the window is (at - 60 s, at], so the frame ends a microsecond before the minute
 @query(_with("""select delivery_id, round(sum(output) over (order by received_at range between interval 59999999 microsecond preceding and current row) / 60.0, 6) as rate
  from d where received_at is not null""", only_d=True))
-def trailing_rate_all(spark, sf):
-    """Trailing rate of every delivery that has an arrival; ``trailing_rate_batch`` is the last days of it."""
+def trailing_rate_batch(spark, sf):
+    """Trailing rate of every delivery that has an arrival."""
     from tallyforge.streaming.rate import trailing_rate
 
     return trailing_rate(deliveries(spark, sf).select("delivery_id", "received_at", "output"), "received_at", "output", 60).select("delivery_id", "rate")
