@@ -293,6 +293,16 @@ def _named_around(t: Tables, own: np.ndarray, of: np.ndarray) -> np.ndarray:
         up = np.where(go, t.parent[np.maximum(up, 0)], up)
 
 
+def _nodes(t: Tables) -> np.ndarray:
+    """Number of every object within its record, whatever batch it came in: objects of the text first, in their order, then
+    those of embedded texts."""
+    order = np.argsort(t.record, kind="stable")
+    held = t.record[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.searchsorted(held, held)
+    return out
+
+
 def _take(texts: pa.Array, at: np.ndarray) -> pa.Array:
     return texts.take(pa.array(np.maximum(at, 0), mask=at < 0)).cast(pa.string()) if len(texts) else pa.nulls(len(at), pa.string())
 
@@ -319,7 +329,7 @@ USAGE = (("message", "usage", "cacheRead"), ("providerData", "rawUsage", "prompt
 def flat_objects(df: DataFrame, key: str = "record_id", body: str = "body", embedded: Sequence[str] = EMBEDDED) -> DataFrame:
     """One row per JSON object: ``(key, node, parent_node, member, node_id, parent_node_id, position)``.
 
-    ``node`` numbers the objects within a run, ``member`` is the name it hangs on (through arrays), the ids are
+    ``node`` numbers the objects of a record from 0, ``member`` is the name it hangs on (through arrays), the ids are
     those of the object itself and of the nearest object around it that has one (string or number; null if none).
     ``position`` holds the places, from 0, in the arrays between the object and its member (null if none).
     """
@@ -327,12 +337,10 @@ def flat_objects(df: DataFrame, key: str = "record_id", body: str = "body", embe
 
     def make(keys: pa.Array, t: Tables) -> pa.RecordBatch:
         own, texts = _ids(t)
-        every = np.arange(len(t.record))
+        every, node = np.arange(len(t.record)), _nodes(t)
         around = _named_around(t, own, every)
-        start = np.full(len(keys) + 1, len(every))
-        np.minimum.at(start, t.record, every)
         return pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(t.record)), pa.array(every), pa.array(np.maximum(t.parent, 0), mask=t.parent < 0), t.member.cast(pa.string()),
+            [keys.take(pa.array(t.record)), pa.array(node), pa.array(node[np.maximum(t.parent, 0)] if len(node) else t.parent, mask=t.parent < 0), t.member.cast(pa.string()),
              _take(texts, own), _take(texts, np.where(around >= 0, own[np.maximum(around, 0)], -1)), t.place],
             names=[key, "node", "parent_node", "member", "node_id", "parent_node_id", "position"])
 
@@ -351,7 +359,8 @@ def flat_members(df: DataFrame, key: str = "record_id", body: str = "body", embe
 
     def make(keys: pa.Array, t: Tables) -> pa.RecordBatch:
         both = lambda a, b: pa.chunked_array([a, b]).combine_chunks()
-        kinds, node = np.concatenate([t.m_kind, t.e_kind]), np.concatenate([t.m_object, t.e_object])
+        kinds, holder, nodes = np.concatenate([t.m_kind, t.e_kind]), np.concatenate([t.m_object, t.e_object]), _nodes(t)
+        node = np.where(holder >= 0, nodes[np.maximum(holder, 0)], -1) if len(nodes) else holder
         value = pc.if_else(pa.array(kinds == "z", pa.bool_()), pa.scalar(None, pa.string()), both(t.m_text, t.e_text).cast(pa.string()))
         return pa.RecordBatch.from_arrays(
             [keys.take(pa.array(np.concatenate([t.record[t.m_object], t.e_record]))), pa.array(node, mask=node < 0), both(t.m_name, t.e_name).cast(pa.string()),

@@ -111,6 +111,15 @@ def p5_members(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.flat_members(table(spark, sf, "session_files")).groupBy("name", "kind").agg(F.count(F.lit(1)).alias("members"))
 
 
+def p5_linked(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat tables joined by their keys: scalars by the member their object hangs on, with the objects and records they are in."""
+    files = table(spark, sf, "session_files").select("record_id", "body")
+    objects = flatten.flat_objects(files).select("record_id", "node", "member", F.col("parent_node").isNotNull().alias("nested"))
+    held = flatten.flat_members(files).select("record_id", "node", "name", "kind", F.col("position").isNotNull().alias("element"))
+    per = held.groupBy("record_id", "node", "name", "kind", "element").agg(F.count(F.lit(1)).alias("n"))
+    return per.join(objects, ["record_id", "node"]).groupBy("member", "nested", "name", "kind", "element").agg(F.sum("n").alias("scalars"), F.count(F.lit(1)).alias("objects"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Root and depth of every session that states a parent."""
     return hierarchy.session_hierarchy(table(spark, sf, "usage_events")).where("parent_id is not null").select(
@@ -135,7 +144,7 @@ def p6_cycles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p4_found, p4_typed, p5_found, p5_objects, p5_members, p6_found, p6_descendants, p6_paths, p6_cycles)}
+    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p4_found, p4_typed, p5_found, p5_objects, p5_members, p5_linked, p6_found, p6_descendants, p6_paths, p6_cycles)}
 
 _P1_CTE = r"""
 with recursive n as (
@@ -189,6 +198,25 @@ union all select stream_id, file_no, 'removed', path, '' from gone anti join mov
 union all select stream_id, file_no, 'added', '', path from came anti join moved on moved.stream_id = came.stream_id and moved.file_no = came.file_no and moved.new_path = came.path"""
 
 
+#: all JSON values of session files; strings of two members that hold an object are opened in turn. ``spot`` places a value, ``up`` the one around it
+_P5_CTE = r"""
+with recursive docs as (
+  select record_id, body::json as doc, '' as spot, null::varchar as member from session_files where json_valid(body)
+  union all
+  select d.record_id, (t.value ->> '$')::json, d.spot || t.fullkey, t.key from docs d, json_tree(d.doc) t
+  where t.key in ('message', 'providerData') and t.type = 'VARCHAR' and case when json_valid(t.value ->> '$') then json_type((t.value ->> '$')::json) = 'OBJECT' else false end),
+vals as (
+  select d.record_id, t.type, t.value, d.spot || t.fullkey as spot, case when t.fullkey = '$' then d.member else nullif(regexp_extract(t.fullkey, '\.([^.\[\]]+)(\[[0-9]+\])*$', 1), '') end as name,
+         ends_with(t.fullkey, ']') as element, t.fullkey = '$' and d.spot <> '' as opened from docs d, json_tree(d.doc) t),
+objs as (select * from vals where type = 'OBJECT'),
+-- the object around: the place without its last member and the positions behind it
+own as (select *, case when spot = '$' then null when opened then regexp_replace(spot, '(\.[^.\[\]]+)?(\[[0-9]+\])*\$$', '') else regexp_replace(spot, '(\.[^.\[\]]+)?(\[[0-9]+\])*$', '') end as up from vals),
+ids as (select record_id, up as spot, value ->> '$' as id from own where name = 'id' and not element and type in ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE')),
+walk as (select record_id, spot, up as here from own where type = 'OBJECT' and up is not null
+  union all select w.record_id, w.spot, o.up from walk w left join ids i on i.record_id = w.record_id and i.spot = w.here
+  join own o on o.record_id = w.record_id and o.spot = w.here and o.type = 'OBJECT' where i.id is null and o.up is not null),
+around as (select w.record_id, w.spot, i.id from walk w join ids i on i.record_id = w.record_id and i.spot = w.here)
+"""
 ORACLE = {
     "p1_found": _P1_CTE + "select distinct delivery_id from ranked where delivery_id <> first_id",
     "p1_once": _P1_CTE + "select harness, count(*) as requests, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output from ranked where delivery_id = first_id group by 1",
@@ -211,6 +239,23 @@ up as (
   union all select u.scope, u.session_id, p.parent_id, u.depth + 1 from up u join p on p.scope = u.scope and p.session_id = u.top and p.parent_id is not null where u.depth < 2000),
 lost as (select scope, session_id from up where depth >= 2000)
 select scope, top as ancestor, count(*) as below, cast(max(depth) as integer) as levels from up anti join lost using (scope, session_id) group by 1, 2""",
+    "p5_found": _P5_CTE + """
+, counted as (select record_id, up, name from own where not element and name in ('cacheRead', 'prompt_tokens') and (type in ('BIGINT', 'UBIGINT', 'DOUBLE') or type = 'VARCHAR' and regexp_full_match(value ->> '$', '[0-9]+'))),
+hit as (select distinct c.record_id, m.up as spot from counted c
+  join own u on u.record_id = c.record_id and u.spot = c.up and u.type = 'OBJECT' and not u.element
+  join own m on m.record_id = u.record_id and m.spot = u.up and m.type = 'OBJECT' and not m.element
+  where (m.name, u.name, c.name) in (('message', 'usage', 'cacheRead'), ('providerData', 'rawUsage', 'prompt_tokens')))
+select record_id, i.id as node_id, a.id as parent_node_id from hit join ids i using (record_id, spot) left join around a using (record_id, spot)""",
+    "p5_objects": _P5_CTE + """
+select o.name as member, count(*) as objects, count(i.id) as with_id, count(a.id) as under_id from objs o left join ids i using (record_id, spot) left join around a using (record_id, spot) group by 1""",
+    "p5_members": _P5_CTE + """
+select name, case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind, count(*) as members
+from vals where type not in ('OBJECT', 'ARRAY') group by 1, 2""",
+    "p5_linked": _P5_CTE + """
+, one as (select o.name as member, o.spot <> '$' as nested, v.name, case v.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind, v.element,
+                 v.record_id, o.spot, count(*) as n
+          from own v join objs o on o.record_id = v.record_id and o.spot = v.up where v.type not in ('OBJECT', 'ARRAY') group by all)
+select member, nested, name, kind, element, cast(sum(n) as bigint) as scalars, count(*) as objects from one group by all""",
     "p6_paths": """
 with recursive p as (
   select '["' || coalesce(harness, '') || '","' || coalesce(nullif(trim(instance_id), ''), 'default') || '"]' as scope, session_id as node, min(nullif(trim(parent_id), '')) as parent,

@@ -126,3 +126,14 @@ def test_elements_of_arrays(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
     places = {(r.node_id, r.position and tuple(r.position)) for r in flat_objects(spark.createDataFrame([(1, '{"id": 0, "a": [7, {"id": 1}, [{"id": 2}]]}')], SCHEMA)).collect()}
     assert places == {("0", None), ("1", (1,)), ("2", (2, 0))}
+
+
+def test_nodes_do_not_depend_on_batches(spark):
+    rng = random.Random(13)
+    rows = [(i, json.dumps(made(rng))) for i in range(60)] + [(60, '{"id": 1, "tags": ["a", {"id": 2, "x": [1, 2]}], "message": "{\\"k\\": {\\"v\\": 1}}"}')]
+    one = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    many = spark.createDataFrame(rows[::-1], SCHEMA).repartition(7)
+    for f in (flat_objects, flat_members):
+        assert sorted(map(str, f(one).collect())) == sorted(map(str, f(many).collect()))
+    last = flat_objects(one).where("record_id = 60").select("node", "parent_node", "member").orderBy("node").collect()
+    assert [tuple(r) for r in last] == [(0, None, None), (1, 0, "tags"), (2, 0, "message"), (3, 2, "k")]
