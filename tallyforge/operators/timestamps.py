@@ -5,14 +5,15 @@ Everything is JVM-side: one regular expression per notation rewrites the text to
 from the machine that wrote it. A wall-clock reading is checked against both offsets in force around
 it, so readings that occur twice or never are recognised as such.
 
-``zone_history`` is the estimator of the method named for this problem: it aligns zone-less local
-stamps with their arrival times and chooses, per source, the history of offsets with the fewest
-violations. ``normalise_stamps(unknown_zone="estimate")`` uses it for rows whose zone nobody states.
+``zone_history`` and ``clock_history`` are the estimators of the method named for this problem: they align zone-less local
+stamps with their arrival times (the latter also with their place between lines whose instants are known) and choose, per
+source, the history of offsets with the fewest violations. ``normalise_stamps(unknown_zone="estimate")`` converts with
+it the stamps whose zone nobody states.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Sequence
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
@@ -20,7 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.runtime import blank_to_null, fresh, staged
+from tallyforge.operators.ordered import carried
+from tallyforge.runtime import blank_to_null, cut, fresh, staged
 
 # fixed values: month names by their first three letters
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -110,7 +112,8 @@ def _by_offset(local: Column, mark: Column) -> Column:
 
 def normalise_stamps(
     df: DataFrame, text: str, zone: str, first: str = "2025-01-01", last: str = "2027-01-01",
-    unknown_zone: str = "utc", source: str = "source_path", arrival: str = "received_at",
+    unknown_zone: str = "utc", source: str = "source_path", arrival: str = "received_at", order: Sequence[str] = (),
+    rule_s: int | None = None,
 ) -> DataFrame:
     """Adds ``utc_us`` (microseconds since 1970 UTC, or null) and ``stamp_note`` to the rows of ``df``.
 
@@ -120,7 +123,10 @@ def normalise_stamps(
     the estimated offset with ``unknown_zone="estimate"``), ``number``, and for null results ``ambiguous``
     (occurs twice), ``skipped`` (never occurs), ``unreadable`` (any other text, a machine zone or
     abbreviation nobody knows, out of range) or ``missing`` (null or blank).
-    Rows are neither added nor removed; repeated rows get equal results.
+    Rows are neither added nor removed; repeated rows get equal results. The estimate goes by arrival and, with ``order`` (columns,
+    the first a number or time), also by the place between lines of the same ``source`` whose instants are known.
+    ``rule_s`` is the offset that has to come out where no zone is known, in seconds: an estimate that differs is put right by it and
+    noted as ``corrected``.
     """
     spark = df.sparkSession
     raw, own, f, local, mark, region, off, est, first_c, second_c, near, ok1, ok2 = fresh(
@@ -141,9 +147,18 @@ def normalise_stamps(
     names = spark.createDataFrame(abbreviations(zones), f"`{z_c}` string, `{upper}` string, `{off}` int")
     out = out.join(F.broadcast(names), [z_c, upper], "left")
     if unknown_zone == "estimate":
-        hist = zone_history(out.where((F.col(mark) == "") & F.col(z_c).isNull()), source, arrival, local)
-        hist = hist.select(F.col("source").alias(source), F.col("day").alias(hist_day), F.col("offset_s").alias(est))
-        out = out.withColumn(hist_day, F.to_date(arrival)).join(hist, [source, hist_day], "left").drop(hist_day)
+        if order:
+            # lines of such machines that state a zone are instants to compare with
+            clock, rules = fresh(df, "_clock", "_rules")
+            stamped = normalise_stamps(with_wall_clock(df.where(blank_to_null(zone).isNull()), text, clock), text, zone, first, last)
+            stamped = stamped.withColumn(rules, F.when(F.col("stamp_note").isin("zone", "number"), F.col("utc_us")))
+            stamped = cut(stamped.select(*{source, arrival, *order}, rules, F.when(F.col("stamp_note") == "assumed", F.col(clock)).alias(clock)))
+            hist, slot = clock_history(stamped, source, arrival, clock, source, order, rules), F.floor(F.col(local) / _HOUR_US)
+        else:
+            hist = zone_history(out.where((F.col(mark) == "") & F.col(z_c).isNull()), source, arrival, local).withColumnRenamed("day", "slot")
+            slot = F.to_date(arrival)
+        hist = hist.select(F.col("source").alias(source), F.col("slot").alias(hist_day), F.col("offset_s").alias(est))
+        out = out.withColumn(hist_day, slot).join(hist, [source, hist_day], "left").drop(hist_day)
     else:
         out = out.withColumn(est, F.lit(0))
     z = F.when(F.col(z_c).isin(zones), F.col(z_c))
@@ -153,7 +168,9 @@ def normalise_stamps(
     out = staged(out, **{ok1: _shift(F.col(first_c), z) == F.col(local), ok2: _shift(F.col(second_c), z) == F.col(local)})
 
     number = F.col(raw).rlike(_NUMBER) & F.col(local).isNull()
-    value = F.when(F.length(raw) <= 40, F.col(raw).try_cast("decimal(38,12)"))
+    # digits that do not fit are beyond any instant of the span, or finer than a microsecond
+    value = F.col(raw).try_cast("decimal(38,12)")
+    value = F.coalesce(value, F.regexp_replace(F.regexp_replace(raw, r"^\+?0+(?=\d)", ""), r"(\.\d{12})\d+$", "$1").try_cast("decimal(38,12)"))
     inside = lambda c: (c >= lo) & (c < hi)
     units = [F.floor(value * 1_000_000), F.floor(value * 1_000), F.floor(value), F.floor(value / 1_000)]
     from_number = F.coalesce(*[F.when(inside(u), u.cast("bigint")) for u in units])
@@ -165,7 +182,7 @@ def normalise_stamps(
         .when(F.col(upper).isin(*_UTC_MARKS), F.col(local))
         .when(m.rlike(r"^[+-]"), _by_offset(F.col(local), m))
         .when(m != "", F.col(local) - F.col(off).cast("bigint") * _US)
-        .when(F.col(z_c).isNull(), F.col(local) - F.coalesce(F.col(est), F.lit(0)).cast("bigint") * _US)
+        .when(F.col(z_c).isNull(), F.col(local) - (F.coalesce(F.col(est), F.lit(0)) if rule_s is None else F.lit(rule_s)).cast("bigint") * _US)
         .otherwise(wall)
     )
     out = staged(out, utc_us=made) if "utc_us" not in df.columns else staged(out.drop("utc_us"), utc_us=made)
@@ -176,25 +193,25 @@ def normalise_stamps(
         .when(utc.isNull() & clock & twice, "ambiguous")
         .when(utc.isNull() & clock & ~F.col(ok1) & ~F.col(ok2), "skipped")
         .when(utc.isNull(), "unreadable")
-        .when(number, "number").when(m != "", "zone").when(F.col(z_c).isNull(), "assumed").otherwise("host")
+        .when(number, "number").when(m != "", "zone").when(F.col(z_c).isNull(), F.lit("assumed") if rule_s is None else F.when(F.coalesce(F.col(est), F.lit(0)) != rule_s, "corrected").otherwise("assumed")).otherwise("host")
     )
     return out.select(*base, utc.alias("utc_us"), note.alias("stamp_note"))
 
 
-def line_stamps(lines: DataFrame) -> DataFrame:
-    """Log lines with the stamp of their body: ``record_id, source_path, host_tz, received_at, raw``."""
+def line_stamps(lines: DataFrame, *keep: str) -> DataFrame:
+    """Log lines with the stamp of their body: ``record_id, source_path, host_tz, received_at, raw`` and the columns to keep."""
     body = F.from_json("body", "timestamp string, createdAt string, ts string")
-    return lines.select("record_id", "source_path", "host_tz", "received_at", body.alias("_b")).select(
-        "record_id", "source_path", "host_tz", "received_at", F.coalesce("_b.timestamp", "_b.createdAt", "_b.ts").alias("raw"))
+    names = ["record_id", "source_path", "host_tz", "received_at", *keep]
+    return lines.select(*names, body.alias("_b")).select(*names, F.coalesce("_b.timestamp", "_b.createdAt", "_b.ts").alias("raw"))
 
 
 def _history(key: tuple, votes: pd.DataFrame) -> pd.DataFrame:
-    """Viterbi over the days of one source: violations of an offset are the lines that vote for another;
+    """Viterbi over the slots (days, hours) of one source: violations of an offset are the lines that vote for another;
     a change of offset costs as much as ``_CHANGE`` violations. Ties take the offset nearest to UTC. Votes for no
     possible offset (null) are violations of all; a source with no other has no offset."""
-    days = sorted(votes["day"].unique())
+    days = sorted(votes["slot"].unique())
     cands = sorted((int(o) for o in votes["offset_s"].dropna().unique()), key=lambda o: (abs(o), o)) or [None]
-    by = {d: dict(zip(g["offset_s"], g["n"])) for d, g in votes.groupby("day")}
+    by = {d: dict(zip(g["offset_s"], g["n"])) for d, g in votes.groupby("slot")}
     cost = dict.fromkeys(cands, 0.0)
     ways: list[dict] = []
     for d in days:
@@ -212,27 +229,71 @@ def _history(key: tuple, votes: pd.DataFrame) -> pd.DataFrame:
     for d, back in zip(reversed(days), reversed(ways)):
         rows.append((key[0], d, at, int(sum(by[d].values())), int(sum(by[d].values()) - by[d].get(at, 0))))
         at = back[at]
-    return pd.DataFrame(rows[::-1], columns=["source", "day", "offset_s", "lines", "violations"]).astype({"offset_s": "Int32"})
+    return pd.DataFrame(rows[::-1], columns=["source", "slot", "offset_s", "lines", "violations"]).astype({"offset_s": "Int32"})
 
 
 _CHANGE = 3.0
 
 
+_HOUR_US = 3_600 * _US
+
+
+def _votes(df: DataFrame, source: str, arrival: str, local_us: str, slot: Column, step_s: int, slack_s: int, file: str | None = None, order: Sequence[str] = (), known_us: str | None = None) -> DataFrame:
+    """``(source, slot, offset_s, n)``: votes of the lines, counted before any grouping, so a group holds at most one row per slot and
+    offset however many lines a source has."""
+    arrived, local, step = F.unix_micros(F.col(arrival).cast("timestamp")), F.col(local_us), step_s * _US
+    vote = F.ceil((local - arrived) / step - slack_s / step_s) * step_s
+    if known_us:
+        before, behind = fresh(df, "_before", "_behind")
+        df = carried(df, [file], order, F.col(known_us), "last", before)
+        df = carried(df, [file], order, F.col(known_us), "next", behind)
+        least, most = F.ceil((local - F.col(behind)) / step) * step_s, F.floor((local - F.col(before)) / step) * step_s
+        vote = F.when(least == most, least).when((F.coalesce(least, vote) <= vote) & (vote <= F.coalesce(most, vote)), vote)
+    return (
+        df.where(F.col(local_us).isNotNull() & F.col(arrival).isNotNull() & F.col(source).isNotNull())
+        .select(F.col(source).alias("source"), slot.alias("slot"), vote.alias("_vote"))
+        .groupBy("source", "slot", F.when(F.abs("_vote") <= 14 * 3600, F.col("_vote")).cast("int").alias("offset_s")).agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+_HISTORY = "source string, slot bigint, offset_s int, lines bigint, violations bigint"
+
+
 def zone_history(df: DataFrame, source: str, arrival: str, local_us: str, step_s: int = 900, slack_s: int = 60) -> DataFrame:
-    """Estimated offsets of sources that state no zone: ``(source, day, offset_s, lines, violations)``.
+    """Estimated offsets of sources that state no zone: ``(source, day, offset_s, lines, violations)`` by day of arrival.
 
     A line arrives a little after it was written, so local time minus arrival, rounded up to the next
     quarter of an hour (with ``slack_s`` of tolerance), votes for an offset; a line that arrives late votes
     for an offset that is too small and is a violation of the true one. Beyond 14 hours it votes for none, and a
-    day with only such lines has the offset of the days around it. Votes are counted per source,
-    day and offset before any grouping, so a group holds at most one row per day and offset however
-    many lines a source has.
+    day with only such lines has the offset of the days around it.
     """
-    arrived = F.unix_micros(F.col(arrival).cast("timestamp"))
-    votes = (
-        df.where(F.col(local_us).isNotNull() & F.col(arrival).isNotNull() & F.col(source).isNotNull())
-        .select(F.col(source).alias("source"), F.to_date(arrival).alias("day"),
-                (F.ceil((F.col(local_us) - arrived) / (step_s * _US) - slack_s / step_s) * step_s).alias("_vote"))
-        .groupBy("source", "day", F.when(F.abs("_vote") <= 14 * 3600, F.col("_vote")).cast("int").alias("offset_s")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    return votes.groupBy("source").applyInPandas(_history, "source string, day date, offset_s int, lines bigint, violations bigint")
+    slot = F.unix_date(F.to_date(arrival)).cast("bigint")
+    out = _votes(df, source, arrival, local_us, slot, step_s, slack_s).groupBy("source").applyInPandas(_history, _HISTORY)
+    return out.select("source", F.date_from_unix_date(F.col("slot").cast("int")).alias("day"), "offset_s", "lines", "violations")
+
+
+def clock_history(df: DataFrame, source: str, arrival: str, local_us: str, file: str, order: Sequence[str], known_us: str, step_s: int = 900, slack_s: int = 60) -> DataFrame:
+    """Estimated offsets by hour of the wall clock, from arrival and sequence: ``(source, slot, offset_s, lines, violations)``.
+
+    As ``zone_history``, but a late line belongs to the hour it was written in, and ``known_us``, instants that other lines of the same ``file``
+    are known to have, tell as well: in the ``order`` of the file a line lies between its nearest known
+    neighbours. If that leaves one offset it is the vote, and a vote by arrival that it rules out counts for none. ``slot`` is the
+    hour of the wall clock since 1970.
+    """
+    slot = F.floor(F.col(local_us) / _HOUR_US)
+    return _votes(df, source, arrival, local_us, slot, step_s, slack_s, file, order, known_us).groupBy("source").applyInPandas(_history, _HISTORY)
+
+
+def zone_accuracy(lines: DataFrame, source: str, text: str, zone: str, arrival: str, file: str, order: Sequence[str]) -> DataFrame:
+    """How often the estimate hits where the zone is known: ``(source, lines, right_lines)`` of the wall-clock stamps.
+
+    ``lines`` state their zone; the estimate does not look at it, and the offset by the rules is what it is held against.
+    """
+    known, local = fresh(lines, "_known", "_local")
+    ruled = normalise_stamps(with_wall_clock(lines, text, local), text, zone)
+    ruled = ruled.withColumn(known, F.when(F.col("stamp_note").isin("zone", "number"), F.col("utc_us")))
+    ruled = cut(ruled.select(*{source, arrival, file, *order}, "stamp_note", "utc_us", local, known))
+    hist = clock_history(ruled, source, arrival, local, file, order, known)
+    host = ruled.where(F.col("stamp_note") == "host").select(F.col(source).alias("source"), F.floor(F.col(local) / _HOUR_US).alias("slot"), ((F.col(local) - F.col("utc_us")) / _US).cast("int").alias("true_s"))
+    right = F.coalesce(F.col("true_s") == F.col("offset_s"), F.lit(False))
+    return host.join(hist.select("source", "slot", "offset_s"), ["source", "slot"], "left").groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.count_if(right).alias("right_lines"))

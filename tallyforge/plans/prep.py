@@ -58,8 +58,13 @@ def p2_trailing(spark: SparkSession, sf: str) -> DataFrame:
     return _totals(spark, sf).select("instance_id", "project", F.date_format("day", "yyyy-MM-dd").alias("day_key"), "total_7", "avg_7", "total_30", "avg_30")
 
 
-def _stamps(spark: SparkSession, sf: str, unknown_zone: str = "utc") -> DataFrame:
-    return timestamps.normalise_stamps(timestamps.line_stamps(table(spark, sf, "log_lines")), "raw", "host_tz", unknown_zone=unknown_zone)
+_LINE_ORDER = ["line_no", "record_id"]
+
+
+def _stamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Stamps whose zone nobody states take the estimated offset; it has to be that of UTC, which is checked."""
+    lines = timestamps.line_stamps(table(spark, sf, "log_lines"), "line_no")
+    return timestamps.normalise_stamps(lines, "raw", "host_tz", unknown_zone="estimate", order=_LINE_ORDER, rule_s=0)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,6 +84,12 @@ def p3_zone_history(spark: SparkSession, sf: str) -> DataFrame:
     return timestamps.zone_history(stamps.withColumn("_zone", F.coalesce("host_tz", F.lit(""))), "_zone", "received_at", "_local")
 
 
+def p3_zone_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Offsets estimated from arrival and sequence against those of the zones that machines state, per zone."""
+    stamps = timestamps.line_stamps(table(spark, sf, "log_lines"), "line_no").withColumn("zone", blank_to_null("host_tz")).where("zone is not null")
+    return timestamps.zone_accuracy(stamps, "zone", "raw", "host_tz", "received_at", "source_path", _LINE_ORDER).withColumnRenamed("source", "host_tz")
+
+
 def _chats(spark: SparkSession, sf: str) -> DataFrame:
     return drift.ingest(table(spark, sf, "chat_lines").select(*_CHAT["columns"]), "body", drift.CHAT_FIELDS, drift.CHAT_TYPES)
 
@@ -144,7 +155,7 @@ def p6_cycles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p4_found, p4_typed, p5_found, p5_objects, p5_members, p5_linked, p6_found, p6_descendants, p6_paths, p6_cycles)}
+    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p3_zone_accuracy, p4_found, p4_typed, p5_found, p5_objects, p5_members, p5_linked, p6_found, p6_descendants, p6_paths, p6_cycles)}
 
 _P1_CTE = r"""
 with recursive n as (

@@ -1,8 +1,9 @@
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import timestamps as T
 from tallyforge.operators.timestamps import abbreviations, line_stamps, normalise_stamps, with_wall_clock, zone_history
 
 SCHEMA = "id int, raw string, tz string, source_path string, received_at timestamp"
@@ -110,3 +111,24 @@ def test_abbreviations_are_made_from_the_database():
 def test_null_everything(spark, unknown):
     df = spark.createDataFrame([(None, None, None, None, None)], SCHEMA)
     assert normalise_stamps(df, "raw", "tz", unknown_zone=unknown).collect()[0].utc_us is None
+
+
+def test_sequence_tells_the_offset_of_late_lines(spark):
+    """Zone-less lines of a machine two hours ahead that all arrive days late, between lines with zones."""
+    rows = []
+    for i in range(12):
+        utc = datetime(2026, 3, 1, 10, i)
+        raw = utc.strftime("%Y-%m-%dT%H:%M:%SZ") if i % 3 == 0 else (utc + timedelta(hours=2)).strftime("%Y-%m-%d %H:%M:%S")
+        rows.append((i, "f", utc + timedelta(days=2, hours=i), raw, None))
+    df = spark.createDataFrame(rows, "line_no int, source_path string, received_at timestamp, raw string, host_tz string")
+    got = {r.line_no: r.utc_us for r in T.normalise_stamps(df, "raw", "host_tz", unknown_zone="estimate", order=["line_no"]).collect()}
+    want = {i: int((datetime(2026, 3, 1, 10, i) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for i in range(12)}
+    assert {k: v for k, v in got.items() if k < 10} == {k: v for k, v in want.items() if k < 10}
+    acc = T.zone_accuracy(df.withColumn("host_tz", F.lit("Etc/GMT-2")), "host_tz", "raw", "host_tz", "received_at", "source_path", ["line_no"]).collect()
+    assert [(r.source, r.lines) for r in acc] == [("Etc/GMT-2", 8)] and acc[0].right_lines >= 6
+
+
+def test_long_numbers(spark):
+    rows = [("1767225600" + "." + "0" * 60 + "1",), ("0" * 50 + "1767225600",), ("1" * 60,), ("-" + "9" * 50,)]
+    got = [r.utc_us for r in T.normalise_stamps(spark.createDataFrame(rows, "raw string").withColumn("z", F.lit(None).cast("string")), "raw", "z").collect()]
+    assert got == [1767225600_000_000, 1767225600_000_000, None, None]
