@@ -13,11 +13,11 @@ it the stamps whose zone nobody states.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,7 +157,8 @@ def normalise_stamps(
         else:
             hist = zone_history(out.where((F.col(mark) == "") & F.col(z_c).isNull()), source, arrival, local).withColumnRenamed("day", "slot")
             slot = F.to_date(arrival)
-        hist = hist.select(F.col("source").alias(source), F.col("slot").alias(hist_day), F.col("offset_s").alias(est))
+        hist = cut(hist.select(F.col("source").alias(source), F.col("slot").alias(hist_day), F.col("offset_s").alias(est)))
+        hist = F.broadcast(hist) if hist.count() <= _BROADCAST_SLOTS else hist
         out = out.withColumn(hist_day, slot).join(hist, [source, hist_day], "left").drop(hist_day)
     else:
         out = out.withColumn(est, F.lit(0))
@@ -205,37 +206,68 @@ def line_stamps(lines: DataFrame, *keep: str) -> DataFrame:
     return lines.select(*names, body.alias("_b")).select(*names, F.coalesce("_b.timestamp", "_b.createdAt", "_b.ts").alias("raw"))
 
 
-def _history(key: tuple, votes: pd.DataFrame) -> pd.DataFrame:
-    """Viterbi over the slots (days, hours) of one source: violations of an offset are the lines that vote for another;
+def _history(votes: list[tuple[int, int | None, int]]) -> Iterator[tuple[int, int | None, int, int]]:
+    """(slot, offset, lines, violations) from (slot, offset, votes) of one source, by Viterbi over its slots (days, hours):
+    violations of an offset are the lines that vote for another;
     a change of offset costs as much as ``_CHANGE`` violations. Ties take the offset nearest to UTC. Votes for no
     possible offset (null) are violations of all; a source with no other has no offset."""
-    days = sorted(votes["slot"].unique())
-    cands = sorted((int(o) for o in votes["offset_s"].dropna().unique()), key=lambda o: (abs(o), o)) or [None]
-    by = {d: dict(zip(g["offset_s"], g["n"])) for d, g in votes.groupby("slot")}
+    by: dict[int, dict] = {}
+    for slot, offset, n in votes:
+        by.setdefault(slot, {})[offset] = n
+    cands = sorted({o for _, o, _ in votes if o is not None}, key=lambda o: (abs(o), o)) or [None]
     cost = dict.fromkeys(cands, 0.0)
     ways: list[dict] = []
-    for d in days:
-        total = sum(by[d].values())
+    slots = sorted(by)
+    for slot in slots:
+        total = sum(by[slot].values())
         best = min(cands, key=lambda o: cost[o])
         step, back = {}, {}
         for o in cands:
             stay = cost[o] <= cost[best] + _CHANGE
-            step[o] = (cost[o] if stay else cost[best] + _CHANGE) + total - by[d].get(o, 0)
+            step[o] = (cost[o] if stay else cost[best] + _CHANGE) + total - by[slot].get(o, 0)
             back[o] = o if stay else best
         cost = step
         ways.append(back)
     at = min(cands, key=lambda o: cost[o])
-    rows = []
-    for d, back in zip(reversed(days), reversed(ways)):
-        rows.append((key[0], d, at, int(sum(by[d].values())), int(sum(by[d].values()) - by[d].get(at, 0))))
+    for slot, back in zip(reversed(slots), reversed(ways)):
+        lines = sum(by[slot].values())
+        yield slot, at, lines, lines - by[slot].get(at, 0)
         at = back[at]
-    return pd.DataFrame(rows[::-1], columns=["source", "slot", "offset_s", "lines", "violations"]).astype({"offset_s": "Int32"})
+
+
+def _histories(votes: DataFrame) -> DataFrame:
+    """``_history`` of every source; its votes are one row per slot and offset and come together in one task."""
+    names = ["source", "slot", "offset_s", "lines", "violations"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, out = None, [], []
+
+        def done() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=names)
+
+        for batch in batches:
+            for source, slot, offset, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if source != held and rows:
+                    out += [(held, *r) for r in _history(rows)]
+                    rows = []
+                    if len(out) > 20_000:
+                        yield done()
+                        out.clear()
+                held = source
+                rows.append((slot, offset, n))
+        out += [(held, *r) for r in _history(rows)] if rows else []
+        yield done()
+
+    placed = votes.select(F.col("source").cast("string").alias("source"), "slot", "offset_s", "n").repartition("source").sortWithinPartitions("source")
+    return placed.mapInArrow(run, "source string, slot bigint, offset_s int, lines bigint, violations bigint")
 
 
 _CHANGE = 3.0
 
 
 _HOUR_US = 3_600 * _US
+_BROADCAST_SLOTS = 200_000  # slots of histories that are broadcast; more are joined by shuffle
 
 
 def _votes(df: DataFrame, source: str, arrival: str, local_us: str, slot: Column, step_s: int, slack_s: int, file: str | None = None, order: Sequence[str] = (), known_us: str | None = None) -> DataFrame:
@@ -256,9 +288,6 @@ def _votes(df: DataFrame, source: str, arrival: str, local_us: str, slot: Column
     )
 
 
-_HISTORY = "source string, slot bigint, offset_s int, lines bigint, violations bigint"
-
-
 def zone_history(df: DataFrame, source: str, arrival: str, local_us: str, step_s: int = 900, slack_s: int = 60) -> DataFrame:
     """Estimated offsets of sources that state no zone: ``(source, day, offset_s, lines, violations)`` by day of arrival.
 
@@ -268,7 +297,7 @@ def zone_history(df: DataFrame, source: str, arrival: str, local_us: str, step_s
     day with only such lines has the offset of the days around it.
     """
     slot = F.unix_date(F.to_date(arrival)).cast("bigint")
-    out = _votes(df, source, arrival, local_us, slot, step_s, slack_s).groupBy("source").applyInPandas(_history, _HISTORY)
+    out = _histories(_votes(df, source, arrival, local_us, slot, step_s, slack_s))
     return out.select("source", F.date_from_unix_date(F.col("slot").cast("int")).alias("day"), "offset_s", "lines", "violations")
 
 
@@ -281,7 +310,7 @@ def clock_history(df: DataFrame, source: str, arrival: str, local_us: str, file:
     hour of the wall clock since 1970.
     """
     slot = F.floor(F.col(local_us) / _HOUR_US)
-    return _votes(df, source, arrival, local_us, slot, step_s, slack_s, file, order, known_us).groupBy("source").applyInPandas(_history, _HISTORY)
+    return _histories(_votes(df, source, arrival, local_us, slot, step_s, slack_s, file, order, known_us))
 
 
 def zone_accuracy(lines: DataFrame, source: str, text: str, zone: str, arrival: str, file: str, order: Sequence[str]) -> DataFrame:
