@@ -231,7 +231,7 @@ def _history(votes: list[tuple[int, int | None, int]]) -> Iterator[tuple[int, in
     at = min(cands, key=lambda o: cost[o])
     for slot, back in zip(reversed(slots), reversed(ways)):
         lines = sum(by[slot].values())
-        yield slot, at, lines, lines - by[slot].get(at, 0)
+        yield slot, at, lines, lines - (by[slot].get(at, 0) if at is not None else 0)
         at = back[at]
 
 
