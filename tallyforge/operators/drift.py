@@ -3,8 +3,9 @@
 Method: rescue-column ingestion. A target schema is enforced on every record: fields it names are
 cast into typed columns, whatever is unknown or cannot be cast is kept as JSON in a rescue column,
 fields approved later are promoted and replayed from the rescue column into typed columns. The same
-pass notes which fields with which types a record carries; distinct notes per file are what the drift
-report compares, so its shuffle is bounded by the number of schema shapes, not of records.
+pass notes which fields with which types a record carries; the notes of a file are what the drift
+report compares. ``file_notes`` is that pass without the columns the report does not read: it merges the notes of a batch by file
+before anything is shuffled, so the shuffle is bounded by files and fields, not by records.
 """
 
 from __future__ import annotations
@@ -181,28 +182,63 @@ def with_previous(files: DataFrame, stream: str, order: str, value: str, block:
     )
 
 
-def file_shapes(ingested: DataFrame, stream: str, order: str, shape: str = "shape") -> DataFrame:
-    """``(stream, order, fields)``: a map from path to type of every file with at least one readable record.
+def file_notes(df: DataFrame, body: str, stream: str, order: str) -> DataFrame:
+    """``(stream, order, path, kind)`` of the fields that the records of a file carry, once per batch; a file whose only readable
+    records are empty objects has an empty path. Records that ``ingest`` cannot read have no notes."""
+    known = df.where(F.col(stream).isNotNull() & F.col(order).isNotNull() & F.col(body).isNotNull()).select(stream, order, body)
 
-    A path with several types within one file has them joined by ``+`` in alphabetical order.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first: dict[tuple, int] = {}
+            notes: dict[tuple, None] = {}
+            for i, (s, o, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                try:
+                    doc = json.loads(text)
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(doc, dict):
+                    at = first.setdefault((s, o), i)
+                    notes[at, "", ""] = None
+                    for path, kind, _ in leaves(doc):
+                        notes[at, path, kind] = None
+            at, paths, kinds = zip(*notes) if notes else ((), (), ())
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(paths, pa.string()), pa.array(kinds, pa.string())], names=[stream, order, "path", "kind"])
+
+    return known.mapInArrow(run, known.drop(body).schema.add("path", T.StringType()).add("kind", T.StringType()))
+
+
+def _shape_notes(ingested: DataFrame, stream: str, order: str, shape: str) -> DataFrame:
+    """The notes of a table that is ingested already, from its shapes."""
     shapes = ingested.where(F.col(shape).isNotNull() & F.col(stream).isNotNull() & F.col(order).isNotNull()).select(stream, order, shape).distinct()
-    one = shapes.select(stream, order, F.explode(F.split(shape, _GLUE)).alias("_f")).select(
+    return shapes.select(stream, order, F.explode(F.split(shape, _GLUE)).alias("_f")).select(
         stream, order, F.regexp_extract("_f", r"(?s)^(.*):\w*$", 1).alias("path"), F.regexp_extract("_f", r":(\w*)$", 1).alias("kind"))
-    per = one.groupBy(stream, order, "path").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kind"))
-    # an empty object has the empty shape: a readable file without fields
-    return per.groupBy(stream, order).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("path") != "", F.struct("path", "kind"))))).alias("fields"))
 
 
-def drift_report(ingested: DataFrame, stream: str, order: str, fields: Mapping[str, Sequence[str]] = CHAT_FIELDS) -> DataFrame:
+_KINDS = ("array", "boolean", "number", "string")  # in alphabetical order
+
+
+def file_shapes(notes: DataFrame, stream: str, order: str) -> DataFrame:
+    """``(stream, order, fields)``: a map from path to type of every file with notes.
+
+    A path with several types within one file has them joined by ``+`` in alphabetical order.
+    """
+    bit = sum((F.when(F.col("kind") == k, 1 << i).otherwise(0) for i, k in enumerate(_KINDS)), F.lit(0))
+    per = notes.groupBy(stream, order, "path").agg(F.bit_or(bit).alias("bits"))
+    names = F.array(*[F.lit("+".join(k for i, k in enumerate(_KINDS) if n & (1 << i))) for n in range(1 << len(_KINDS))])
+    per = per.select(stream, order, F.when(F.col("path") != "", F.struct("path", F.get(names, F.col("bits")).alias("kind"))).alias("f"))
+    return per.groupBy(stream, order).agg(F.map_from_entries(F.array_sort(F.collect_list("f"))).alias("fields"))
+
+
+def drift_report(table: DataFrame, stream: str, order: str, body: str | None = None, shape: str = "shape", fields: Mapping[str, Sequence[str]] = CHAT_FIELDS) -> DataFrame:
     """All changes between a file and the file before it: ``(stream, order, kind, old_path, new_path, old_type, new_type)``.
 
-    ``retyped``: in both with another type. ``renamed``: gone, while another path of the same target column
+    The table is one that ``ingest`` made, or with ``body`` one that is yet to be ingested. ``retyped``: in both with another type. ``renamed``: gone, while another path of the same target column
     is new; with several on either side the k-th gone path goes with the k-th new one in the order of
     ``fields``. ``removed`` and ``added``: all others gone or new. The first file of a stream changes nothing.
     """
-    pairs = with_previous(file_shapes(ingested, stream, order), stream, order, "fields").where(F.col("previous").isNotNull())
+    notes = file_notes(table, body, stream, order) if body else _shape_notes(table, stream, order, shape)
+    pairs = with_previous(file_shapes(notes, stream, order), stream, order, "fields").where(F.col("previous").isNotNull())
     now, old = F.col("fields"), F.col("previous")
     pairs = pairs.select(stream, order, "fields", "previous", F.array_except(F.map_keys(old), F.map_keys(now)).alias("gone"),
                          F.array_except(F.map_keys(now), F.map_keys(old)).alias("came"))

@@ -96,7 +96,7 @@ def _chats(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every change of schema between a file and the file before it."""
-    return drift.drift_report(_chats(spark, sf), "stream_id", "file_no").select(
+    return drift.drift_report(table(spark, sf, "chat_lines"), "stream_id", "file_no", "body").select(
         "stream_id", F.col("file_no").cast("int").alias("file_no"), "kind", "old_path", "new_path")
 
 

@@ -12,8 +12,10 @@ def chats(spark, rows):
 
 
 def report(spark, rows):
-    out = drift_report(ingest(chats(spark, rows), "body", CHAT_FIELDS, CHAT_TYPES), "stream_id", "file_no")
-    return sorted((r.stream_id, r.file_no, r.kind, r.old_path, r.new_path) for r in out.collect())
+    both = (drift_report(ingest(chats(spark, rows), "body", CHAT_FIELDS, CHAT_TYPES), "stream_id", "file_no"), drift_report(chats(spark, rows), "stream_id", "file_no", "body"))
+    first, second = (sorted((r.stream_id, r.file_no, r.kind, r.old_path, r.new_path) for r in out.collect()) for out in both)
+    assert first == second
+    return first
 
 
 def test_all_kinds(spark):
