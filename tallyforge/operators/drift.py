@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.runtime import fresh
+from tallyforge.runtime import cut, fresh
 
 _GLUE = "\x1f"
 
@@ -238,7 +238,7 @@ def drift_report(table: DataFrame, stream: str, order: str, body: str | None = N
     ``fields``. ``removed`` and ``added``: all others gone or new. The first file of a stream changes nothing.
     """
     notes = file_notes(table, body, stream, order) if body else _shape_notes(table, stream, order, shape)
-    pairs = with_previous(file_shapes(notes, stream, order), stream, order, "fields").where(F.col("previous").isNotNull())
+    pairs = with_previous(cut(file_shapes(notes, stream, order)), stream, order, "fields").where(F.col("previous").isNotNull())
     now, old = F.col("fields"), F.col("previous")
     pairs = pairs.select(stream, order, "fields", "previous", F.array_except(F.map_keys(old), F.map_keys(now)).alias("gone"),
                          F.array_except(F.map_keys(now), F.map_keys(old)).alias("came"))
