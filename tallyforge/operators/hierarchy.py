@@ -1,6 +1,6 @@
 """Problem 6: parent-child links to full hierarchies.
 
-Method: connected components of the links, every component co-located in one task, then an
+Method: connected components of the links (pointer doubling, as a node has one parent), every component co-located in one task, then an
 iterative depth-first traversal with node colouring that yields depth, root, number of descendants, height,
 place in the pre-order and the back edges that close loops.
 
@@ -22,7 +22,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.components import connected_components
 from tallyforge.operators.ordered import carried
 from tallyforge.runtime import blank_to_null, cut, instance_or_default
 
@@ -197,6 +196,30 @@ def _doubling(links: DataFrame, paths: bool) -> DataFrame:
     return shaped[0].unionByName(shaped[1])
 
 
+def _tops(links: DataFrame) -> DataFrame:
+    """Connected components of links ``(id, up)`` with one row per id: ``(id, component)``, named by the top of the tree or, where
+    the links run into a loop, by the smallest id of the loop. Tops themselves are not listed.
+
+    A node has one parent, so following the links twice as far each round finds the top in as many rounds as the depth has
+    binary digits; two lists of neighbours are never needed.
+    """
+    state = links.select("id", F.col("up").alias("ptr"), F.col("id").alias("low"))
+    reach, open_ = 1, None
+    while True:
+        far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
+        state = cut(state.join(far, "ptr", "left").select(
+            "id", F.coalesce("ptr2", "ptr").alias("ptr"), F.least("low", "low2").alias("low"), F.col("ptr2").isNotNull().alias("open")))
+        reach *= 2
+        open_ = state.where("open").count()
+        if not open_ or reach >= 2 * open_:
+            break
+    if not open_:
+        return state.select("id", F.col("ptr").alias("component"))
+    # what is still open has gone around a loop at least once, and stands on it
+    loops = state.where("open").select(F.col("id").alias("ptr"), F.col("low").alias("component"))
+    return state.where("not open").select("id", F.col("ptr").alias("component")).unionByName(state.where("open").join(loops, "ptr").select("id", "component"))
+
+
 def hierarchy(links: DataFrame, task_nodes: int = TASK_NODES, paths: bool = False) -> DataFrame:
     """Full hierarchies of ``(scope, node, parent)``: the columns of ``OUT``, one row per node, with ``paths`` also ``path``.
 
@@ -214,9 +237,10 @@ def hierarchy(links: DataFrame, task_nodes: int = TASK_NODES, paths: bool = Fals
     one = cut(links.select("scope", "node", blank_to_null("parent").alias("parent")).where("node is not null").groupBy("scope", "node").agg(
         F.min("parent").alias("parent"), F.coalesce(F.min("parent") != F.max("parent"), F.lit(False)).alias("conflict")))
     key = lambda c: F.xxhash64("scope", c)  # noqa: E731 - only places nodes; a clash puts two trees in one task
-    ties = one.where("parent is not null").select(key("node").alias("src"), key("parent").alias("dst"))
-    labels = cut(connected_components(ties).withColumnRenamed("node", "_id"))
-    # a node without links is a component of its own
+    # a clash makes the links of one id two, which only places more together; the smaller one is followed
+    ties = one.where("parent is not null").groupBy(key("node").alias("id")).agg(F.min(key("parent")).alias("up"))
+    labels = cut(_tops(ties).withColumnRenamed("id", "_id"))
+    # a node without parent is the top of its component
     placed = one.withColumn("_id", key("node")).join(labels, "_id", "left").select(F.coalesce("component", "_id").alias("component"), "scope", "node", "parent", "conflict")
     big = labels.groupBy("component").count().where(F.col("count") > task_nodes).select("component")
     any_big = big.limit(1).count() > 0

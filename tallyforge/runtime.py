@@ -53,9 +53,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written once to the shared folder and survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: the rows are written once to the shared folder and survive lost executors.
+
+    The frame is made anew over the written rows. A checkpoint as it comes keeps the size estimate of the plan behind it, and in a
+    loop of self-joins that estimate squares every round until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    rows = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
 
 
 #: characters that are white space, made from their Unicode property
