@@ -210,8 +210,9 @@ def _tops(links: DataFrame) -> DataFrame:
         state = cut(state.join(far, "ptr", "left").select(
             "id", F.coalesce("ptr2", "ptr").alias("ptr"), F.least("low", "low2").alias("low"), F.col("ptr2").isNotNull().alias("open")))
         reach *= 2
-        open_ = state.where("open").count()
-        if not open_ or reach >= 2 * open_:
+        before, open_ = open_, state.where("open").count()
+        # in a tree some node comes to its top in every round; if none did, only loops are left, which have to be gone around
+        if not open_ or open_ == before and reach >= open_:
             break
     if not open_:
         return state.select("id", F.col("ptr").alias("component"))

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -53,15 +54,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written once to the shared folder and survive lost executors.
+    """The rows written once as a table in the shared folder and read back, so they survive lost executors.
 
-    The frame is made anew over the written rows. A checkpoint as it comes keeps the size estimate of the plan behind it, and in a
-    loop of self-joins that estimate squares every round until planning takes longer than the work.
+    A table has the size that its files have. A checkpoint keeps the estimate of the plan it came from, and in a loop of
+    self-joins that estimate squares every round until planning takes longer than the work. Tables go when the session ends.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    rows = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: characters that are white space, made from their Unicode property
