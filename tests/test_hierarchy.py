@@ -120,3 +120,11 @@ def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "src int, dst int")
     assert connected_components(chain).select("component").distinct().count() == 1
     assert connected_components(links.where("src > 100")).count() == 0
+
+
+def test_deep_trees_beside_loops(spark):
+    """One node far below the others, and loops that stay open: neither is taken for the other."""
+    for depth in (9, 17, 40):
+        rows = [("s", f"{i:02d}", f"{i - 1:02d}" if i else None) for i in range(depth + 1)] + [("s", "x", "y"), ("s", "y", "x"), ("s", "z", "x")]
+        got = result(hierarchy(spark.createDataFrame(rows, SCHEMA), paths=True))
+        assert got == brute(rows) and got["s", f"{depth:02d}"][:2] == ("00", depth)
