@@ -259,6 +259,31 @@ def descendants(tree: DataFrame) -> DataFrame:
     )
 
 
+def _around(lost: DataFrame) -> DataFrame:
+    """Pairs as in ``descendants`` for ``(scope, node, parent)`` on loops or leading into them: each once, by the shortest way.
+
+    After round k the pairs reach 2^k links up and ``step`` leads exactly that far, which always exists here. The
+    first visits of a walk come before all its repeats, so a round without new pairs is the last.
+    """
+    step = cut(lost.select("scope", "node", F.col("parent").alias("to")))
+    pairs = cut(step.where("node <> to").select("scope", F.col("to").alias("ancestor"), "node", F.lit(1).alias("distance")))
+    reach, seen = 1, 0
+    while seen != (seen := pairs.count()):
+        far = pairs.select("scope", F.col("node").alias("to"), "ancestor", (F.col("distance") + reach).alias("distance"))
+        more = step.join(far, ["scope", "to"]).where("node <> ancestor").select("scope", "ancestor", "node", "distance")
+        pairs = cut(pairs.unionByName(more).groupBy("scope", "ancestor", "node").agg(F.min("distance").alias("distance")))
+        on = step.select("scope", F.col("node").alias("to"), F.col("to").alias("to2"))
+        step = cut(step.join(on, ["scope", "to"]).select("scope", "node", F.col("to2").alias("to")))
+        reach *= 2
+    return pairs
+
+
+def closure(tree: DataFrame) -> DataFrame:
+    """``descendants`` of a ``hierarchy`` result with paths, with loops: a node is below all others that its links lead to."""
+    whole = cut(tree.select("scope", "node", "parent", "depth", "path"))
+    return descendants(whole).unionByName(_around(whole.where("depth < 0")))
+
+
 def session_links(events: DataFrame) -> DataFrame:
     """``(scope, node, parent)`` of usage events; scope is harness and instance (blank: ``default``)."""
     return events.select(

@@ -138,11 +138,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """Number of descendants and of levels below every session that has any."""
+    """Number of descendants and of levels below every session of a tree that has any; ``p6_closure`` lists them."""
     tree = hierarchy.hierarchy(hierarchy.session_links(table(spark, sf, "usage_events")))
     return tree.where("descendants > 0").select("scope", F.col("node").alias("ancestor"), F.col("descendants").alias("below"), F.col("height").alias("levels"))
 
 
+def p6_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """The descendants of every session, those on loops or leading into one too, with the number of links between."""
+    tree = hierarchy.hierarchy(hierarchy.session_links(table(spark, sf, "usage_events")), paths=True)
+    return hierarchy.closure(tree).select("scope", "ancestor", F.col("node").alias("descendant"), "distance")
+
+
 def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Path of every session of a tree, and whether rows state several parents for it."""
     tree = hierarchy.hierarchy(hierarchy.session_links(table(spark, sf, "usage_events")), paths=True)
@@ -155,7 +161,7 @@ def p6_cycles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p3_zone_accuracy, p4_found, p4_typed, p5_found, p5_objects, p5_members, p5_linked, p6_found, p6_descendants, p6_paths, p6_cycles)}
+    p1_found, p1_once, p1_merge, p2_found, p2_trailing, p3_found, p3_notes, p3_zone_history, p3_zone_accuracy, p4_found, p4_typed, p5_found, p5_objects, p5_members, p5_linked, p6_found, p6_descendants, p6_closure, p6_paths, p6_cycles)}
 
 _P1_CTE = r"""
 with recursive n as (
@@ -250,6 +256,15 @@ up as (
   union all select u.scope, u.session_id, p.parent_id, u.depth + 1 from up u join p on p.scope = u.scope and p.session_id = u.top and p.parent_id is not null where u.depth < 2000),
 lost as (select scope, session_id from up where depth >= 2000)
 select scope, top as ancestor, count(*) as below, cast(max(depth) as integer) as levels from up anti join lost using (scope, session_id) group by 1, 2""",
+    "p6_closure": """
+with recursive p as (
+  select '["' || coalesce(harness, '') || '","' || coalesce(nullif(trim(instance_id), ''), 'default') || '"]' as scope, session_id, min(nullif(trim(parent_id), '')) as parent_id
+  from usage_events where trim(coalesce(session_id, '')) <> '' group by 1, 2),
+up as (
+  select scope, session_id, parent_id as top, [session_id, parent_id] as way from p where parent_id <> session_id
+  union all select u.scope, u.session_id, p.parent_id, list_append(u.way, p.parent_id) from up u
+  join p on p.scope = u.scope and p.session_id = u.top where p.parent_id is not null and not list_contains(u.way, p.parent_id))
+select scope, top as ancestor, session_id as descendant, cast(len(way) - 1 as integer) as distance from up""",
     "p5_found": _P5_CTE + """
 , counted as (select record_id, up, name from own where not element and name in ('cacheRead', 'prompt_tokens') and (type in ('BIGINT', 'UBIGINT', 'DOUBLE') or type = 'VARCHAR' and regexp_full_match(value ->> '$', '[0-9]+'))),
 hit as (select distinct c.record_id, m.up as spot from counted c

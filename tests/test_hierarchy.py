@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 
 from tallyforge.operators.components import connected_components
-from tallyforge.operators.hierarchy import descendants, hierarchy, session_hierarchy, traverse
+from tallyforge.operators.hierarchy import closure, descendants, hierarchy, session_hierarchy, traverse
+from tallyforge.plans import registry
 
 SCHEMA = "scope string, node string, parent string"
 
@@ -128,3 +129,33 @@ def test_deep_trees_beside_loops(spark):
         rows = [("s", f"{i:02d}", f"{i - 1:02d}" if i else None) for i in range(depth + 1)] + [("s", "x", "y"), ("s", "y", "x"), ("s", "z", "x")]
         got = result(hierarchy(spark.createDataFrame(rows, SCHEMA), paths=True))
         assert got == brute(rows) and got["s", f"{depth:02d}"][:2] == ("00", depth)
+
+
+def walked(up):
+    """(scope, ancestor, node, distance) by following every node's links until one repeats."""
+    out = []
+    for s, n in up:
+        way = [n]
+        while (p := up.get((s, way[-1]))) and p not in way:
+            way.append(p)
+        out += [(s, a, n, k) for k, a in enumerate(way) if k]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [500_000, 3])
+def test_closure_of_trees_and_loops(spark, limit):
+    rng = random.Random(7)
+    rows = [(s, f"n{i}", rng.choice([None, f"n{rng.randrange(30)}", f"n{rng.randrange(30)}"])) for s in "xyz" for i in range(30)]
+    rows += [("u", f"{i:02d}", f"{(i + 1) % 11:02d}") for i in range(11)] + [("u", "v", "03"), ("u", "w", "v"), ("u", "self", "self"), ("u", "under", "self")]
+    got = closure(hierarchy(spark.createDataFrame(rows, SCHEMA), limit, paths=True)).collect()
+    assert sorted((r.scope, r.ancestor, r.node, r.distance) for r in got) == walked({(s, n): p for s, n, p in rows})
+
+
+def test_query_lists_descendants(spark, tmp_path):
+    rows = [("h", "", "b", "a"), ("h", None, "c", "b"), ("h", "", "c", None), ("h", "i", "c", "b"), ("h", "", "x", "y"), ("h", "", "y", "x"), ("h", "", "d", "x"), ("h", "", "e", "d")]
+    spark.createDataFrame(rows, "harness string, instance_id string, session_id string, parent_id string").write.parquet(str(tmp_path / "usage_events.parquet"))
+    got = sorted((r.scope[6:-2], r.ancestor, r.descendant, r.distance) for r in registry.queries()["p6_closure"](spark, str(tmp_path)).collect())
+    loop = [("x", "y", 1), ("y", "x", 1), ("x", "d", 1), ("y", "d", 2), ("d", "e", 1), ("x", "e", 2), ("y", "e", 3)]
+    assert got == sorted([("default", *p) for p in [("a", "b", 1), ("a", "c", 2), ("b", "c", 1), *loop]] + [("i", "b", "c", 1)])
+    counted = registry.queries()["p6_descendants"](spark, str(tmp_path)).collect()
+    assert {(r.scope[6:-2], r.ancestor, r.below, r.levels) for r in counted} == {("default", "a", 2, 2), ("default", "b", 1, 1), ("i", "b", 1, 1)}
