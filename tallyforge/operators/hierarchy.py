@@ -247,7 +247,9 @@ def hierarchy(links: DataFrame, task_nodes: int = TASK_NODES, paths: bool = Fals
     any_big = big.limit(1).count() > 0
     small = placed.join(big, "component", "left_anti") if any_big else placed
     schema = OUT + (", path array<string>" if paths else "")
-    out = small.repartition("component").sortWithinPartitions("component", F.xxhash64("node"), "node").mapInArrow(_by_component(paths), schema)
+    # repartitioned by the column of the join above, adaptive execution takes the join's own shuffle instead, and when it then
+    # broadcasts ``big`` it reads that shuffle in place, which scatters components; a hash of the column is never left out
+    out = small.repartition(F.xxhash64("component")).sortWithinPartitions("component", F.xxhash64("node"), "node").mapInArrow(_by_component(paths), schema)
     return out.unionByName(_doubling(placed.join(big, "component", "left_semi").drop("component"), paths)) if any_big else out
 
 

@@ -159,3 +159,19 @@ def test_query_lists_descendants(spark, tmp_path):
     assert got == sorted([("default", *p) for p in [("a", "b", 1), ("a", "c", 2), ("b", "c", 1), *loop]] + [("i", "b", "c", 1)])
     counted = registry.queries()["p6_descendants"](spark, str(tmp_path)).collect()
     assert {(r.scope[6:-2], r.ancestor, r.below, r.levels) for r in counted} == {("default", "a", 2, 2), ("default", "b", 1, 1), ("i", "b", 1, 1)}
+
+
+def test_small_components_stay_whole_beside_large(spark):
+    """Joins that adaptive execution turns into broadcasts read their shuffles in place, which must not scatter components."""
+    rows = [("s", f"{i:03d}", f"{i - 1:03d}" if i else None) for i in range(60)] + [("t", f"h{i}", "hub") for i in range(300)]
+    names = {"spark.sql.autoBroadcastJoinThreshold": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "6"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = hierarchy(spark.createDataFrame(rows, SCHEMA).repartition(4), 100).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {r.node: (r.depth, r.descendants) for r in got if r.scope == "s"} == {f"{i:03d}": (i, 59 - i) for i in range(60)}
+    assert len(got) == 361 and sum(r.descendants for r in got if r.scope == "t") == 300
